@@ -62,13 +62,11 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     leaves = whole.join(parents, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("msg") == F.col("pm")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv", "root").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "msg"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= keep).select("conv", "root", F.col("msg").alias("leaf"), "msg", F.col("n").alias("place"))
-    out = chosen
+    out = cut(chosen)
     for k in range(len(levels) - 2, -1, -1):
         step = levels[k].where("up IS NOT NULL").select(F.col("conv").alias("pc"), F.col("msg").alias("pm"), "up")
         above = out.join(step, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("msg") == F.col("pm"))).select("conv", "root", "leaf", F.col("up").alias("msg"), (F.col("place") - 2**k).alias("place"))
-        out = out.unionByName(above)
-        if k % 4 == 0 and k:
-            out = cut(out)
+        out = cut(out.unionByName(above))  # each round at most doubles the paths; without the cut, plans would too
     return out
 
 
