@@ -28,11 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame after a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """The frame with its lineage cut. A written table, as a checkpoint computes the frame twice and keeps its constraints,
+    which grow with each round of a loop."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
