@@ -7,8 +7,8 @@ slots give candidate pairs, and the shingle sets of each pair verify it.
 
 Documents with the same words form one node. In each bucket of a band, nodes are compared with the bucket's hub, the
 node that shares most buckets with others. Where a bucket's nodes then still belong to several classes, it is parted by
-the keys of the other bands, and in each finer bucket a node of its rarest class is compared with the other classes. No
-pair within a class is emitted, and no bucket is cut. Of pairs with similarity 0.8, 1 in 300,000 shares no band, and 1 in 20,000 fewer than two.
+the keys of two more bands, and in each finer bucket a node of its rarest class is compared with the other classes. No
+pair within a class is emitted, and no bucket is cut. Of pairs with similarity 0.8, 1 in 300,000 shares no band.
 
 Defined results: words are runs of a-z (A-Z lower-cased), digits and non-ASCII characters; a shingle is five of them, or
 all words of a text with fewer. A text without words, or null, is a class of its own. Rows without an id have no class
@@ -214,11 +214,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c"))
     of = cut(of.withColumn("h", F.xxhash64("c")))
     mixed = of.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key")
-    # What is left are pairs of two classes in one bucket, neither of them its hub. Pairs that share one more band meet
-    # again in a smaller bucket, of that band's key as well.
+    # What is left are pairs of two classes in one bucket, neither of them its hub. Nodes that share two more bands meet
+    # again in smaller buckets, of three bands' keys: two bands by two, each with another by rule.
     keys = made.join(rank.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("bands").alias("bands"))
-    wide = of.join(mixed, "key").join(keys, "fp").select("key", "fp", "h", F.explode("bands").alias("other")).where("key <> other")
-    finer = cut(wide.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "fp", "h").distinct())
+    wide = of.join(mixed, "key").join(keys, "fp").withColumn("i", F.array_position("bands", F.col("key")).cast("int") - 1)
+    wide = wide.select("fp", "h", "bands", "i", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("j")).where("i <> j")
+    lo, hi, at = F.least("i", "j"), F.greatest("i", "j"), lambda x: F.get("bands", x)
+    wide = wide.select("fp", "h", "bands", lo.alias("lo"), hi.alias("hi"), F.pmod(lo * 7 + hi * 13 + 5, F.lit(bands)).alias("k"))
+    finer = cut(wide.select(F.xxhash64(at(F.col("lo")), at(F.col("hi")), at(F.col("k")), F.col("k")).alias("key"), "fp", "h").distinct())
     # There the hub is a node of a class that is rare in the bucket, any of them alike: over the many finer buckets that
     # two near nodes share, one of them is a hub in some, and the work stays in proportion to the buckets' sizes.
     rare = finer.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "fp").alias("o"), "fp")).alias("one"))
