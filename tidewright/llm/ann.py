@@ -165,6 +165,8 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
             "links": pa.array([[a.tobytes() for a in g.links]], pa.list_(pa.binary())), "ids": pa.array([flat.tobytes()], pa.binary()), "many": pa.array([np.array([len(i) for i in ids], np.int32).tobytes()], pa.binary()),
         })
 
+    shards = parts.agg(F.sum("parts")).first()[0] or 1
+    placed = placed.repartition(2 * shards, "dim", "part")  # else several graphs would be built one after another in one task
     return placed.groupBy("dim", "part").applyInArrow(build, "dim int, part bigint, x binary, levels binary, links array<binary>, ids binary, many binary")
 
 

@@ -59,20 +59,24 @@ def random_strings(n: int = 400, seed: int = 7) -> list[str]:
     return out
 
 
-def model(strings: list[str]) -> list[list[float]]:
-    """Natural logs of the probability of each character after each; add-half smoothing."""
+def model(strings: list[str], weight: float = 4.0) -> list[list[float]]:
+    """Natural logs of the probability of each character after each: counts, and `weight` times the share of the character
+    anywhere, add-half smoothed."""
     size = len(CHARACTERS)
-    counts = [[0.5] * size for _ in range(size)]
+    counts, single = [[0.0] * size for _ in range(size)], [0.5] * size
     for s in strings:
         known = [CHARACTERS.index(c) for c in s if c in CHARACTERS]
+        for c in known:
+            single[c] += 1
         for a, b in zip(known, known[1:], strict=False):
             counts[a][b] += 1
-    return [[math.log(x / sum(row)) for x in row] for row in counts]
+    share = [x / sum(single) for x in single]
+    return [[math.log((x + weight * p) / (sum(row) + weight)) for x, p in zip(row, share, strict=True)] for row in counts]
 
 
 def ratios(random: list[str], ordinary: list[str]) -> list[float]:
-    """The log-likelihood ratio of each pair of neighbours, in one row."""
-    p, q = model(random), model(ordinary)
+    """The log-likelihood ratio of each pair of neighbours, in one row; ordinary ones count in upper case as well."""
+    p, q = model(random), model([*ordinary, *(s.upper() for s in ordinary)])
     return [x - y for a, b in zip(p, q, strict=True) for x, y in zip(a, b, strict=True)]
 
 

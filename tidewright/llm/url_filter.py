@@ -37,6 +37,7 @@ LABELLED = (
     ("http://news.daily.test/2024/03/05/election", 0), ("https://www.university.test/research/papers", 0), ("http://blog.gardening.test/tomatoes-in-spring", 0), ("https://forum.cycling.test/thread/123", 0),
     ("http://recipes.kitchen.test/soup/onion", 0), ("https://www.museum.test/exhibitions/2023", 0), ("http://weather.service.test/forecast/monday", 0), ("https://code.hosting.test/project/readme", 0),
     ("http://www.hospital.test/patients/visiting", 0), ("https://city.council.test/meetings/minutes", 0), ("http://history.archive.test/letters/1890", 0), ("https://music.school.test/lessons/piano", 0),
+    ("http://library.manuals.org/start", 0), ("https://food.org/recipes/bread", 0), ("https://www.charity.org/about", 0), ("http://en.textbooks.org/wiki/Physics", 0), ("https://parish.church.org/calendar", 0), ("http://www.observatory.net/stars", 0),
 )
 
 
