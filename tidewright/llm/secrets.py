@@ -24,7 +24,7 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 LEAST_ASSIGN = 12
 RUN = r"[A-Za-z0-9+/=_-]{16,}"
 #: Natural-log ratio from which a run counts as random, in total and for each character.
-RATIO, RATIO_EACH = 8.0, 0.35
+RATIO, RATIO_EACH = 10.0, 0.75
 MASK = "[SECRET]"
 CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
 
