@@ -166,7 +166,7 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
         })
 
     shards = parts.agg(F.sum("parts")).first()[0] or 1
-    placed = placed.repartition(2 * shards, "dim", "part")  # else several graphs would be built one after another in one task
+    placed = placed.repartitionByRange(shards, "dim", "part")  # by hash, several graphs may meet in one task
     return placed.groupBy("dim", "part").applyInArrow(build, "dim int, part bigint, x binary, levels binary, links array<binary>, ids binary, many binary")
 
 
