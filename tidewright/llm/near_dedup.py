@@ -192,15 +192,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     udf = _sketch_udf(size, bands, rows)
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.encode(F.col(text), "utf-8").alias("x")).where(F.col("doc_id").isNotNull())
     made = written(rows_in.select("doc_id", udf("x").alias("s")).select("doc_id", "s.*"), "sketches")
-    spread = made.where(F.col("fp").isNotNull()).select("fp", F.explode("bands").alias("key"))
+    size_if_plain = F.when(F.length("counts") == 0, F.length("items"))
+    spread = made.where(F.col("fp").isNotNull()).select("fp", size_if_plain.alias("n"), F.explode("bands").alias("key"))
+
+    def may(a, b):
+        """False where the sizes alone rule a link out: without repeated shingles, both similarities are at most the
+        smaller set's share of the larger."""
+        a, b = F.col(a), F.col(b)
+        return a.isNull() | b.isNull() | (F.least(a, b) >= similarity * F.greatest(a, b))
+
     first8 = F.xxhash64("fp")
     live = spread.groupBy("key").agg(F.min(first8).alias("lo"), F.max(first8).alias("hi")).where("lo <> hi").select("key")
     buckets = written(spread.join(live, "key").distinct(), "buckets")
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    rank = cut(buckets.join(sizes, "key").groupBy("fp").agg(F.sum("n").alias("pr")))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("many"))
+    rank = cut(buckets.join(sizes, "key").groupBy("fp").agg(F.sum("many").alias("pr")))
     ranked = written(buckets.join(rank, "fp"), "ranked")
-    hubs = ranked.groupBy("key").agg(F.max_by("fp", F.struct("pr", "fp")).alias("hub"))
-    ask = ranked.join(hubs, "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    hubs = ranked.groupBy("key").agg(F.max_by(F.struct("fp", "n"), F.struct("pr", "fp")).alias("hub"))
+    ask = ranked.join(hubs, "key").where((F.col("fp") != F.col("hub.fp")) & may("n", "hub.n")).select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
     node = made.join(rank.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"), F.first("counts").alias("counts"))
     like = _like_udf(similarity)
 
@@ -211,22 +219,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         return both.where(like("ia", "ca", "ib", "cb")).select("a", "b")
 
     links = cut(verified(ask))
-    of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c"))
+    of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("c", "fp").alias("c"))
     of = cut(of.withColumn("h", F.xxhash64("c")))
-    mixed = of.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key")
+    mixed = of.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("many")).where("lo <> hi AND many > 2").select("key")
     # What is left are pairs of two classes in one bucket, neither of them its hub. Nodes that share two more bands meet
     # again in smaller buckets, of three bands' keys: two bands by two, each with another by rule.
     keys = made.join(rank.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("bands").alias("bands"))
     wide = of.join(mixed, "key").join(keys, "fp").withColumn("i", F.array_position("bands", F.col("key")).cast("int") - 1)
-    wide = wide.select("fp", "h", "bands", "i", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("j")).where("i <> j")
+    wide = wide.select("fp", "h", "n", "bands", "i", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("j")).where("i <> j")
     lo, hi, at = F.least("i", "j"), F.greatest("i", "j"), lambda x: F.get("bands", x)
-    wide = wide.select("fp", "h", "bands", lo.alias("lo"), hi.alias("hi"), F.pmod(lo * 7 + hi * 13 + 5, F.lit(bands)).alias("k"))
-    finer = cut(wide.select(F.xxhash64(at(F.col("lo")), at(F.col("hi")), at(F.col("k")), F.col("k")).alias("key"), "fp", "h").distinct())
+    wide = wide.select("fp", "h", "n", "bands", lo.alias("lo"), hi.alias("hi"), F.pmod(lo * 7 + hi * 13 + 5, F.lit(bands)).alias("k"))
+    finer = cut(wide.select(F.xxhash64(at(F.col("lo")), at(F.col("hi")), at(F.col("k")), F.col("k")).alias("key"), "fp", "h", "n").distinct())
     # There the hub is a node of a class that is rare in the bucket, any of them alike: over the many finer buckets that
     # two near nodes share, one of them is a hub in some, and the work stays in proportion to the buckets' sizes.
-    rare = finer.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "fp").alias("o"), "fp")).alias("one"))
-    lead = rare.groupBy("key").agg(F.min(F.struct("n", "one.o", "h", "one.fp")).alias("x"), F.count("*").alias("classes")).where("classes > 1")
-    pairs = finer.join(lead.select("key", F.col("x.fp").alias("a"), F.col("x.h").alias("ha")), "key").where("h <> ha").select("a", F.col("fp").alias("b"))
+    rare = finer.groupBy("key", "h").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("key", "fp").alias("o"), "fp", "n")).alias("one"))
+    lead = rare.groupBy("key").agg(F.min(F.struct("many", "one.o", "h", "one.fp", "one.n")).alias("x"), F.count("*").alias("classes")).where("classes > 1")
+    pairs = finer.join(lead.select("key", F.col("x.fp").alias("a"), F.col("x.h").alias("ha"), F.col("x.n").alias("na")), "key")
+    pairs = pairs.where((F.col("h") != F.col("ha")) & may("n", "na")).select("a", F.col("fp").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     comp = _components(cut(links.union(verified(pairs))))
     comp = comp.withColumnRenamed("v", "fp")
