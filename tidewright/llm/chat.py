@@ -14,6 +14,8 @@ within a conversation are an error of the input; linear() numbers rows itself, b
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +52,19 @@ def paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     known = nodes.select(F.col("conv").alias("pc"), F.col("msg").alias("pm"))
     nodes = nodes.join(known, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("parent") == F.col("pm")), "left")
     start = nodes.select("conv", "msg", F.col("pm").alias("up"), F.lit(1).cast("bigint").alias("n"), F.col("score").alias("total"), F.when(F.col("pm").isNull(), F.col("msg")).alias("root"))
+    # A level holds the messages that still had a pointer in the level before. Those whose pointer has passed their root
+    # are done: only others look them up, so short conversations take part in few rounds.
     levels = [cut(start)]
+    done = [levels[0].where("up IS NULL")]
     most = max(1, levels[0].count()).bit_length()
     while len(levels) <= most and levels[-1].where("up IS NOT NULL").limit(1).count():
-        here = levels[-1]
-        there = here.select(F.col("conv").alias("oc"), F.col("msg").alias("om"), F.col("up").alias("ou"), F.col("n").alias("on"), F.col("total").alias("ot"), F.col("root").alias("oroot"))
-        both = here.join(there, F.col("conv").eqNullSafe(F.col("oc")) & (F.col("up") == F.col("om")), "left")
-        levels.append(cut(both.select("conv", "msg", F.col("ou").alias("up"), (F.col("n") + F.coalesce("on", F.lit(0))).alias("n"), (F.col("total") + F.coalesce("ot", F.lit(0.0))).alias("total"), F.coalesce("root", "oroot").alias("root"))))
-    whole = levels[-1].where("root IS NOT NULL")
+        here = levels[-1].where("up IS NOT NULL")
+        there = reduce(DataFrame.unionByName, done, here)
+        there = there.select(F.col("conv").alias("oc"), F.col("msg").alias("om"), F.col("up").alias("ou"), F.col("n").alias("on"), F.col("total").alias("ot"), F.col("root").alias("oroot"))
+        both = here.join(there, F.col("conv").eqNullSafe(F.col("oc")) & (F.col("up") == F.col("om")))
+        levels.append(cut(both.select("conv", "msg", F.col("ou").alias("up"), (F.col("n") + F.col("on")).alias("n"), (F.col("total") + F.col("ot")).alias("total"), F.coalesce("root", "oroot").alias("root"))))
+        done.append(levels[-1].where("up IS NULL"))
+    whole = reduce(DataFrame.unionByName, done).where("root IS NOT NULL")
     parents = levels[0].where("up IS NOT NULL").select(F.col("conv").alias("pc"), F.col("up").alias("pm"))
     leaves = whole.join(parents, F.col("conv").eqNullSafe(F.col("pc")) & (F.col("msg") == F.col("pm")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv", "root").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "msg"))
