@@ -47,6 +47,39 @@ def test_near_duplicates(make):
     assert near_dedup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_family_without_its_original(make):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base = rng.choices(vocabulary, k=200)
+    texts = []
+    for _ in range(2200):
+        w = list(base)
+        for k in rng.sample(range(200), 4):
+            w[k] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts]
+    column = {}
+    for s in sets:
+        for x in s:
+            column[x] = column.get(x, 0) + 1
+    column = {x: k for k, x in enumerate(x for x, n in column.items() if n > 1)}
+    m = np.zeros((len(sets), len(column)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [column[x] for x in s if x in column]] = 1
+    common, size = (m @ m.T).astype(float), np.array([len(s) for s in sets])
+    near = np.argwhere(np.triu(common / (size[:, None] + size[None, :] - common) >= 0.8, 1))
+    want = list(range(len(sets)))
+    for _ in range(len(near)):
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+        if all(want[a] == want[b] for a, b in near):
+            break
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(make(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    lost = sum(got[a] != got[b] for a, b in near)
+    assert len(near) > 50 and lost == 0, f"{lost} of {len(near)} links lost"
+    assert [got[k] for k in range(len(sets))] == want
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     errors = []

@@ -6,9 +6,11 @@ ends the work early. The chance that two signatures agree in a slot is the proba
 slots give candidate pairs, and the shingle sets of each pair verify it.
 
 Documents with the same words form one node. In each bucket of a band, nodes are compared with the bucket's hub, the
-node that shares most buckets with others. Where a bucket's nodes then still belong to several classes, it is parted by
-the keys of two more bands, and in each finer bucket a node of its rarest class is compared with the other classes. No
-pair within a class is emitted, and no bucket is cut. Of pairs with similarity 0.8, 1 in 300,000 shares no band.
+node that shares most buckets with others. Where a bucket's nodes then still belong to several classes, all its pairs of
+different classes are compared: a large bucket is dealt out as pairs of blocks, and shingles common to two nodes are
+counted for a pair of blocks at once. So each pair that shares a band is verified or already in one class; no bucket is
+cut. The work grows with the square of a bucket that no class fills. Of pairs with similarity 0.8, 1 in 300,000 shares
+no band.
 
 Defined results: words are runs of a-z (A-Z lower-cased), digits and non-ASCII characters; a shingle is five of them, or
 all words of a text with fewer. A text without words, or null, is a class of its own. Rows without an id have no class
@@ -31,6 +33,8 @@ from .common import cut, fresh, table, written
 from .decontamination import words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
+#: Nodes and bytes of shingles of a block, and columns of shingles counted at a time; they bound a task's memory only.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 1 << 23, 2048
 _GOLD, _M1, _M2, _P = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
 
 
@@ -173,6 +177,114 @@ def _like_udf(least: float):
     return like
 
 
+def _counted(x: list[np.ndarray], u: list[np.ndarray], y: list[np.ndarray], v: list[np.ndarray], weighted: bool) -> list[np.ndarray]:
+    """For each of x with each of y, sets of shingles with weights u and v: how many are common, and then the sums of the
+    common ones' weights u and v."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = [np.zeros((len(x), len(y)), np.float32) for _ in range(3 if weighted else 1)]
+
+    def placed(sets, weights):
+        of, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        column = np.searchsorted(shared, at)
+        held = np.flatnonzero(np.append(shared, 0)[column] == at) if len(shared) else np.zeros(0, np.int64)
+        held = held[column[held] < len(shared)]
+        held = held[np.argsort(column[held], kind="stable")]
+        return of[held], column[held], np.concatenate(weights)[held].astype(np.float32) if weighted else None
+
+    def dense(rows, part, low, wide, values):
+        m = np.zeros((rows, wide), np.float32)
+        m[part[0], part[1] - low] = values
+        return m
+
+    left, right = placed(x, u), placed(y, v)
+    for low in range(0, len(shared), COLUMNS):
+        wide = min(COLUMNS, len(shared) - low)
+        a, b = (tuple(c[slice(*np.searchsorted(s[1], [low, low + wide]))] if c is not None else None for c in s) for s in (left, right))
+        one, two = dense(len(x), a, low, wide, 1), dense(len(y), b, low, wide, 1).T
+        out[0] += one @ two
+        if weighted:
+            out[1] += dense(len(x), a, low, wide, a[2]) @ two
+            out[2] += one @ dense(len(y), b, low, wide, b[2]).T
+    return out
+
+
+def _joined(left: list[tuple], right: list[tuple], least: float) -> list[tuple[bytes, bytes]]:
+    """Linked pairs of a node of left and one of right, of (fp, class, items, counts), that join all classes linked."""
+    root: dict[int, int] = {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out: list[tuple[bytes, bytes]] = []
+
+    def join(r, s):
+        root[find(r[1])] = find(s[1])
+        out.append((r[0], s[0]))
+
+    if len(left) * len(right) <= 16:
+        for r in left:
+            for s in right:
+                if find(r[1]) != find(s[1]) and max(likeness(*r[2:], *s[2:])) >= least:
+                    join(r, s)
+        return out
+    unpack = lambda rows: [np.frombuffer(r[2], "<u4") for r in rows]
+    x, y = unpack(left), unpack(right)
+    repeats = np.array([bool(r[3]) for r in left])[:, None] | np.array([bool(s[3]) for s in right])[None, :]
+    weighted = bool(repeats.any())
+    shares = lambda rows, sets: [w / w.sum() for r, s in zip(rows, sets, strict=True) for w in [np.frombuffer(r[3], "<u4").astype(float) if r[3] else np.ones(len(s))]] if weighted else []
+    common, *sums = _counted(x, shares(left, x), y, shares(right, y), weighted)
+    common = common.astype(float)
+    names, number = np.unique([r[1] for r in [*left, *right]], return_inverse=True)
+    c, d = number[: len(left)], number[len(left) :]
+    apart = c[:, None] != d[None, :]
+    plain = common / (np.array([len(a) for a in x])[:, None] + np.array([len(b) for b in y])[None, :] - common)
+    i, j = np.nonzero((plain >= least) & apart)
+    _, once = np.unique(c[i] * len(names) + d[j], return_index=True)
+    for k in once:
+        if find(left[i[k]][1]) != find(right[j[k]][1]):
+            join(left[i[k]], right[j[k]])
+    if weighted:
+        # Two signatures can't agree more often than the smaller of the shares that the common shingles have.
+        maybe = repeats & apart & (plain < least) & (np.minimum(*sums) >= least - 1e-3)
+        for k, m in np.argwhere(maybe):
+            r, s = left[k], right[m]
+            if find(r[1]) != find(s[1]) and max(likeness(*r[2:], *s[2:])) >= least:
+                join(r, s)
+    return out
+
+
+_DEALT = ("key", "i", "j", "own", "fp", "h", "items", "counts")
+
+
+def _settle(least: float):
+    """Links between the classes of each pair of blocks, whose rows come one after the other."""
+
+    def links(place, rows):
+        _, i, j = place
+        left, right = ([r[1:] for r in rows if r[0] == k] for k in (i, j))
+        return _joined(left, right, least) if left and right and len({r[2] for r in rows}) > 1 else []
+
+    def settle(batches):
+        place, rows = None, []
+        for batch in batches:
+            out = []
+            for *at, own, fp, h, items, counts in zip(*(batch.column(k).to_pylist() for k in range(len(_DEALT))), strict=True):
+                if at != place:
+                    out += links(place, rows) if rows else []
+                    place, rows = at, []
+                rows.append((own, fp, h, items, counts))
+            yield _pairs(out)
+        yield _pairs(links(place, rows) if rows else [])
+
+    return settle
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
 def _components(links: DataFrame) -> DataFrame:
     """v, c: the smallest node of each linked node's component, by rounds of smallest neighbour and pointer jumping."""
     edges = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
@@ -192,7 +304,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     udf = _sketch_udf(size, bands, rows)
     rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.encode(F.col(text), "utf-8").alias("x")).where(F.col("doc_id").isNotNull())
     made = written(rows_in.select("doc_id", udf("x").alias("s")).select("doc_id", "s.*"), "sketches")
-    spread = made.where(F.col("fp").isNotNull()).select("fp", F.explode("bands").alias("key"))
+    spread = made.where(F.col("fp").isNotNull()).select("fp", F.length("items").alias("z"), F.explode("bands").alias("key"))
     first8 = F.xxhash64("fp")
     live = spread.groupBy("key").agg(F.min(first8).alias("lo"), F.max(first8).alias("hi")).where("lo <> hi").select("key")
     buckets = written(spread.join(live, "key").distinct(), "buckets")
@@ -211,24 +323,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
         return both.where(like("ia", "ca", "ib", "cb")).select("a", "b")
 
     links = cut(verified(ask))
-    of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", F.coalesce("c", "fp").alias("c"))
+    of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", "z", F.coalesce("c", "fp").alias("c"))
     of = cut(of.withColumn("h", F.xxhash64("c")))
-    mixed = of.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("key")
-    # What is left are pairs of two classes in one bucket, neither of them its hub. Nodes that share two more bands meet
-    # again in smaller buckets, of three bands' keys: two bands by two, each with another by rule.
-    keys = made.join(rank.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("bands").alias("bands"))
-    wide = of.join(mixed, "key").join(keys, "fp").withColumn("i", F.array_position("bands", F.col("key")).cast("int") - 1)
-    wide = wide.select("fp", "h", "bands", "i", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("j")).where("i <> j")
-    lo, hi, at = F.least("i", "j"), F.greatest("i", "j"), lambda x: F.get("bands", x)
-    wide = wide.select("fp", "h", "bands", lo.alias("lo"), hi.alias("hi"), F.pmod(lo * 7 + hi * 13 + 5, F.lit(bands)).alias("k"))
-    finer = cut(wide.select(F.xxhash64(at(F.col("lo")), at(F.col("hi")), at(F.col("k")), F.col("k")).alias("key"), "fp", "h").distinct())
-    # There the hub is a node of a class that is rare in the bucket, any of them alike: over the many finer buckets that
-    # two near nodes share, one of them is a hub in some, and the work stays in proportion to the buckets' sizes.
-    rare = finer.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "fp").alias("o"), "fp")).alias("one"))
-    lead = rare.groupBy("key").agg(F.min(F.struct("n", "one.o", "h", "one.fp")).alias("x"), F.count("*").alias("classes")).where("classes > 1")
-    pairs = finer.join(lead.select("key", F.col("x.fp").alias("a"), F.col("x.h").alias("ha")), "key").where("h <> ha").select("a", F.col("fp").alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comp = _components(cut(links.union(verified(pairs))))
+    # What is left are pairs of two classes in one bucket, neither of them its hub. Of buckets with the same nodes one is enough.
+    per_class = of.groupBy("key", "h").agg(F.count("*").alias("n"), F.sum("z").alias("z"), *(F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
+    whole = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("z").alias("z"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.max(F.struct("n", "z", "h")).alias("top"))
+    mixed = whole.where("classes > 1 AND n > 2").groupBy("n", "x0", "x1").agg(F.min(F.struct("key", "z", "top")).alias("m")).select("n", "m.*")
+    # A large bucket's most frequent class has blocks of its own, which aren't compared with each other.
+    blocks = lambda n, z: F.greatest(F.ceil(n / BLOCK), F.ceil(z / BLOCK_BYTES)).cast("int")
+    small = (F.col("n") <= BLOCK) & (F.col("z") <= BLOCK_BYTES)
+    mixed = mixed.select("key", F.col("top.h").alias("top"), F.when(small, 0).otherwise(blocks(F.col("top.n"), F.col("top.z"))).alias("p"), F.when(small, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("z") - F.col("top.z"))).alias("q"))
+    most = (F.col("h") == F.col("top")) & (F.col("p") > 0)
+    salt = lambda k: F.pmod(F.xxhash64("fp", F.lit(2)), F.greatest(k, F.lit(1))).cast("int")
+    dealt = of.join(mixed, "key").withColumn("own", F.when(most, salt(F.col("p"))).otherwise(F.col("p") + salt(F.col("q"))))
+    dealt = dealt.select("key", "fp", "h", "own", F.explode(F.sequence(F.when(most, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)).alias("o"))
+    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "h", "fp").join(node, "fp").select(*_DEALT)
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(similarity), "a binary, b binary")
+    comp = _components(cut(links.union(found)))
     comp = comp.withColumnRenamed("v", "fp")
     narrow = made.select("doc_id", "fp").join(comp, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
     least = narrow.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("class_id"))
