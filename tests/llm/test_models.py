@@ -80,6 +80,19 @@ def test_near_duplicates_in_a_family_without_its_original(make):
     assert [got[k] for k in range(len(sets))] == want
 
 
+def test_near_duplicates_with_repeated_lines(make):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    rows = []
+    for _ in range(12):
+        text, line = " ".join(rng.choices(vocabulary, k=300)), " ".join(rng.choices(vocabulary, k=6))
+        rows += [text, *(text + f" {line}" * n for n in (50, 100))]
+        # Plain Jaccard is low here, and probability Jaccard high.
+        rows += [" ".join(rng.choices(vocabulary, k=20)) + f" {line} x" * 150 for _ in range(2)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(make(list(enumerate(rows)), "doc_id long, text string").repartition(2)).collect()}
+    assert [got[k] for k in range(len(rows))] == [k - k % 5 + (0 if k % 5 < 3 else 3) for k in range(len(rows))]
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     errors = []

@@ -3,7 +3,8 @@
 Each shingle is the source of a Poisson process with its weight as rate; every arrival goes to a random slot of the
 signature, and the first arrival in a slot names its winner. Arrivals later than the latest winner can't count, which
 ends the work early. The chance that two signatures agree in a slot is the probability Jaccard similarity. Bands of
-slots give candidate pairs, and the shingle sets of each pair verify it.
+slots give candidate pairs, and the shingle sets of each pair verify it. A text with repeated shingles has a second
+signature with all weights 1, whose slots agree with the chance of the plain Jaccard similarity; of others it is the same.
 
 Documents with the same words form one node. In each bucket of a band, nodes are compared with the bucket's hub, the
 node that shares most buckets with others. Where a bucket's nodes then still belong to several classes, all its pairs of
@@ -129,7 +130,7 @@ _SKETCH = "struct<fp: binary, bands: array<bigint>, items: binary, counts: binar
 def _sketch_udf(size: int, bands: int, rows: int):
     @F.arrow_udf(_SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
-        fps, sets, items, counts = [], [], [], []
+        fps, sets, items, counts, keyed = [], [], [], [], []
         for x in texts:
             words = words_of(x.as_py())
             if not words:
@@ -138,10 +139,17 @@ def _sketch_udf(size: int, bands: int, rows: int):
             with np.errstate(over="ignore"):
                 got, many = shingles(words, size)
             sets.append((got, many))
+            keyed.append(1)
+            if many.max() > 1:
+                sets.append((got, np.ones_like(many)))
+                keyed[-1] = 2
             fps.append(hashlib.md5(b" ".join(words)).digest())
             items.append((got >> np.uint64(32)).astype("<u4").tobytes())
             counts.append(many.astype("<u4").tobytes() if many.max() > 1 else b"")
-        keys = iter(band_keys(signatures(sets, bands * rows), bands, rows))
+        made = band_keys(signatures(sets, bands * rows), bands, rows)
+        ends = iter(np.cumsum(keyed))
+        starts = iter(np.cumsum([0, *keyed]))
+        keys = (np.unique(made[low:high]) for low, high in zip(starts, ends, strict=False))
         return pa.StructArray.from_arrays(
             [pa.array(fps, pa.binary()), pa.array([None if x is None else next(keys) for x in fps], pa.list_(pa.int64())), pa.array(items, pa.binary()), pa.array(counts, pa.binary())],
             ["fp", "bands", "items", "counts"],
