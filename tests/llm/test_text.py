@@ -79,6 +79,17 @@ def test_secret_models_tell_held_out_strings_apart(make):
     assert sum(r.odd == bool(r.y) for r in rows) / len(rows) > 0.95 and not any(r.odd for r in rows if not r.y)
 
 
+def test_secrets_joined_to_ordinary_words(make):
+    rng = random.Random(21)
+    letters = secrets.CHARACTERS[:62]
+    heads = ["services/webhooks/incoming/", "configuration_manager_session_key_", "static/images/thumbnails/", "background-color-transparent-"]
+    texts = [f"see {h}{''.join(rng.choices(letters, k=n))} here" for h in heads for n in (24, 32) for _ in range(50)]
+    texts += [f"see {h}{w} here" for h in heads for w in ("customer_relationship_management", "environment_variables", "transportation-network")]
+    masked = [r.text for r in secrets.redacted(make(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    hit = [m == f"see {h}{secrets.MASK} here" for h, m in zip([h for h in heads for _ in range(100)], masked, strict=False)]
+    assert sum(hit) / len(hit) > 0.8 and masked[400:] == texts[400:]
+
+
 def test_bpe(make):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 The two first-order models are counted from labelled samples on the driver; the log-likelihood ratio of a run of
-identifier characters is the sum of a table's entries for its neighbouring characters. All work on texts is DataFrame
-expressions.
+identifier characters is the sum of a table's entries for its neighbouring characters. A run that isn't random as a whole
+is searched for random stretches by a running sum, so that a string joined to ordinary words is found; a stretch is
+widened to the nearest of / _ - = or the run's ends. All work on texts is DataFrame expressions.
 
 Defined results: a null text has no spans, and is passed on as null by redacted(). Positions are code points, end
 exclusive. A random-string span that overlaps a pattern's span isn't added. Rows and other columns pass through.
@@ -25,6 +26,8 @@ LEAST_ASSIGN = 12
 RUN = r"[A-Za-z0-9+/=_-]{16,}"
 #: Natural-log ratio from which a run counts as random, in total and for each character.
 RATIO, RATIO_EACH = 10.0, 0.75
+#: Least characters of a random stretch inside a run, and the fall of the running sum that ends it.
+LEAST_STRETCH, FALL = 12, 8.0
 MASK = "[SECRET]"
 CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"
 
@@ -80,27 +83,60 @@ def ratios(random: list[str], ordinary: list[str]) -> list[float]:
     return [x - y for a, b in zip(p, q, strict=True) for x, y in zip(a, b, strict=True)]
 
 
-def log_ratio(run: Column, weights: list[float]) -> Column:
+def _pair_ratios(run: Column, weights: list[float]) -> Column:
     size = len(CHARACTERS)
     lookup = F.array(*[F.lit(w) for w in weights]) if len(weights) < 2 else F.lit(weights)
     codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(CHARACTERS), c) - 1)
-    pairs = F.zip_with(F.slice(codes, 1, F.length(run) - 1), F.slice(codes, 2, F.length(run)), lambda a, b: F.get(lookup, a * size + b))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    return F.zip_with(F.slice(codes, 1, F.length(run) - 1), F.slice(codes, 2, F.length(run)), lambda a, b: F.get(lookup, a * size + b))
+
+
+def log_ratio(run: Column, weights: list[float]) -> Column:
+    return F.aggregate(_pair_ratios(run, weights), F.lit(0.0), lambda s, x: s + x)
+
+
+_PARTS = "array<struct<low:int,high:int>>"
+
+
+def stretches(run: Column, weights: list[float]) -> Column:
+    """low, high of the random stretches of a run: each where the sum of its ratios less RATIO_EACH goes from nothing to a
+    peak, before it falls by FALL or to nothing."""
+    none = F.array().cast(_PARTS)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("peak"), F.lit(0).alias("low"), F.lit(0).alias("high"), none.alias("out"))
+
+    def closed(s):
+        long = s["high"] - s["low"]
+        good = (long >= LEAST_STRETCH) & (s["peak"] + RATIO_EACH * (long - 1) >= RATIO)
+        return F.when(good, F.concat(s["out"], F.array(F.struct(s["low"].alias("low"), s["high"].alias("high"))))).otherwise(s["out"])
+
+    def step(s, x):
+        new = s["sum"] + x - RATIO_EACH
+        idle, over, up = s["sum"] <= 0, (new <= 0) | (s["peak"] - new > FALL), new > s["peak"]
+        return F.struct(
+            (s["at"] + 1).alias("at"), F.when(over, 0.0).otherwise(new).alias("sum"), F.when(over, 0.0).when(up, new).otherwise(s["peak"]).alias("peak"),
+            F.when(idle, s["at"]).otherwise(s["low"]).alias("low"), F.when(over, 0).when(up, s["at"] + 2).otherwise(s["high"]).alias("high"), F.when(over, closed(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    def widened(x):
+        head, tail = F.substring(run, F.lit(1), x["low"]), F.substring(run, x["high"] + 1, F.length(run))
+        low = F.when(F.substring(run, x["low"] + 1, F.lit(1)).rlike("[/_=-]"), x["low"] + 1).otherwise(x["low"] - F.length(F.regexp_extract(head, "[A-Za-z0-9+]*$", 0)))
+        high = F.when(F.substring(run, x["high"], F.lit(1)).rlike("[/_=-]"), x["high"] - 1).otherwise(x["high"] + F.length(F.regexp_extract(tail, "^[A-Za-z0-9+]*", 0)))
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.array_distinct(F.transform(F.aggregate(_pair_ratios(run, weights), zero, step, closed), widened))
 
 
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """start, kind, end of the matches that keep(match number's columns) accepts; from what lies between the matches."""
+    """start, kind, end of the parts of matches that keep(matches) names; from what lies between the matches."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
 
     def step(s, x):
         start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["run"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
+        more = F.transform(x["parts"], lambda p: F.struct((start + p["low"]).alias("start"), F.lit(kind).alias("kind"), (start + p["high"]).alias("end")))
+        return F.struct((start + F.length(x["run"])).alias("at"), F.concat(s["out"], more).alias("out"))
 
-    rows = F.zip_with(F.slice(gaps, 1, F.size(found)), keep(found), lambda g, m: F.struct(g.alias("gap"), m["run"].alias("run"), m["ok"].alias("ok")))
+    rows = F.zip_with(F.slice(gaps, 1, F.size(found)), keep(found), lambda g, m: F.struct(g.alias("gap"), m["run"].alias("run"), m["parts"].alias("parts")))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(empty)
 
@@ -109,13 +145,15 @@ def found(docs: DataFrame, into: str, text: str = "text", random: list[str] | No
     """docs with an array column named into of start, kind (a position in KINDS) and end, by start and then kind."""
     weights = ratios(random or random_strings(), ordinary or ORDINARY)
     t = F.coalesce(F.col(text), F.lit(""))
-    everything = lambda runs: F.transform(runs, lambda r: F.struct(r.alias("run"), F.lit(True).alias("ok")))
+    all_of = lambda r: F.array(F.struct(F.lit(0).alias("low"), F.length(r).alias("high")))
+    everything = lambda runs: F.transform(runs, lambda r: F.struct(r.alias("run"), all_of(r).alias("parts")))
     values = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    long = lambda runs: F.zip_with(runs, values, lambda r, v: F.struct(r.alias("run"), (F.length(v) >= LEAST_ASSIGN).alias("ok")))
+    long = lambda runs: F.zip_with(runs, values, lambda r, v: F.struct(r.alias("run"), F.when(F.length(v) >= LEAST_ASSIGN, all_of(r)).otherwise(F.array().cast(_PARTS)).alias("parts")))
 
     def odd(runs):
         def one(r):
-            return F.struct(r.alias("run"), (log_ratio(r, weights) >= F.greatest(F.lit(RATIO), RATIO_EACH * F.length(r))).alias("ok"))
+            whole = log_ratio(r, weights) >= F.greatest(F.lit(RATIO), RATIO_EACH * F.length(r))
+            return F.struct(r.alias("run"), F.when(whole, all_of(r)).otherwise(stretches(r, weights)).alias("parts"))
 
         return F.transform(runs, one)
 
