@@ -6,7 +6,7 @@ is searched for random stretches by a running sum, so that a string joined to or
 widened to the nearest of / _ - = or the run's ends. All work on texts is DataFrame expressions.
 
 Defined results: a null text has no spans, and is passed on as null by redacted(). Positions are code points, end
-exclusive. A random-string span that overlaps a pattern's span isn't added. Rows and other columns pass through.
+exclusive. A random-string span that lies within a pattern's span isn't added; one that overlaps it is kept whole. Rows and other columns pass through.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ def found(docs: DataFrame, into: str, text: str = "text", random: list[str] | No
 
     base = F.concat(_spans(t, ASSIGN, 0, long), _spans(t, ACCESS, 1, everything), _spans(t, HEX, 2, everything))
     out = docs.withColumn(into, base).withColumn(into, F.struct(F.col(into).alias("base"), _spans(t, RUN, 3, odd).alias("more")))
-    free = F.filter(f"{into}.more", lambda m: ~F.exists(F.col(f"{into}.base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = F.filter(f"{into}.more", lambda m: ~F.exists(F.col(f"{into}.base"), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return out.withColumn(into, F.array_sort(F.concat(f"{into}.base", free)))
 
 
