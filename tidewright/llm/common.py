@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: reading tables, cutting lineage, small hashing expressions."""
+"""What the operators of this subpackage share: reading tables, cutting lineage, names and letter case."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,16 +28,53 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+class Scratch:
+    """Written tables of one computation, which cut lineage: a checkpoint computes its frame twice and keeps constraints
+    that grow with each round of a loop. What isn't dropped before goes at the end, with the shuffles behind it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        path = _fresh_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(out)] = (out, path)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for f in frames:
+            if id(f) in self.held:
+                removed(self.spark, self.held.pop(id(f))[1])
+
+    def __exit__(self, *_) -> None:
+        self.drop(*(f for f, _ in list(self.held.values())))
+        # Spark removes the files of shuffles that no frame refers to any more once its driver has collected garbage.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The frame with its lineage cut. A written table, as a checkpoint computes the frame twice and keeps its constraints,
-    which grow with each round of a loop."""
+    """The frame with its lineage cut, in a written table that stays as long as the frame may be read."""
     return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame after it is written to the shared folder and read again; columnar, so smaller than a checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    path = _fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

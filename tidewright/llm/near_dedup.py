@@ -27,10 +27,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table, written
+from .common import Scratch, fresh, table, written
 from .decontamination import words_of
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 32, 5
@@ -125,35 +125,37 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 _SKETCH = "struct<fp: binary, bands: array<bigint>, items: binary, counts: binary>"
+_ARROW = pa.struct([("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("items", pa.binary()), ("counts", pa.binary())])
+#: Texts whose shingles a worker holds unpacked at once.
+AT_ONCE = 500
+
+
+def _sketched(texts: pa.Array, size: int, bands: int, rows: int) -> list[dict | None]:
+    out, sets, keyed = [], [], []
+    for x in texts:
+        words = words_of(x.as_py())
+        if not words:
+            out.append({"fp": None, "bands": None, "items": None, "counts": None})
+            continue
+        with np.errstate(over="ignore"):
+            got, many = shingles(words, size)
+        sets.append((got, many))
+        repeats = bool(many.max() > 1)
+        if repeats:
+            sets.append((got, np.ones_like(many)))
+        out.append({"fp": hashlib.md5(b" ".join(words)).digest(), "items": (got >> np.uint64(32)).astype("<u4").tobytes(), "counts": many.astype("<u4").tobytes() if repeats else b""})
+        keyed.append((out[-1], len(sets)))
+    made = band_keys(signatures(sets, bands * rows), bands, rows)
+    low = 0
+    for row, high in keyed:
+        row["bands"], low = np.unique(made[low:high]), high
+    return out
 
 
 def _sketch_udf(size: int, bands: int, rows: int):
     @F.arrow_udf(_SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
-        fps, sets, items, counts, keyed = [], [], [], [], []
-        for x in texts:
-            words = words_of(x.as_py())
-            if not words:
-                fps.append(None), items.append(None), counts.append(None)
-                continue
-            with np.errstate(over="ignore"):
-                got, many = shingles(words, size)
-            sets.append((got, many))
-            keyed.append(1)
-            if many.max() > 1:
-                sets.append((got, np.ones_like(many)))
-                keyed[-1] = 2
-            fps.append(hashlib.md5(b" ".join(words)).digest())
-            items.append((got >> np.uint64(32)).astype("<u4").tobytes())
-            counts.append(many.astype("<u4").tobytes() if many.max() > 1 else b"")
-        made = band_keys(signatures(sets, bands * rows), bands, rows)
-        ends = iter(np.cumsum(keyed))
-        starts = iter(np.cumsum([0, *keyed]))
-        keys = (np.unique(made[low:high]) for low, high in zip(starts, ends, strict=False))
-        return pa.StructArray.from_arrays(
-            [pa.array(fps, pa.binary()), pa.array([None if x is None else next(keys) for x in fps], pa.list_(pa.int64())), pa.array(items, pa.binary()), pa.array(counts, pa.binary())],
-            ["fp", "bands", "items", "counts"],
-        )
+        return pa.concat_arrays([pa.array([], _ARROW), *(pa.array(_sketched(texts[i : i + AT_ONCE], size, bands, rows), _ARROW) for i in range(0, len(texts), AT_ONCE))])
 
     return sketch
 
@@ -293,46 +295,60 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def _components(links: DataFrame) -> DataFrame:
+def _components(s: Scratch, links: DataFrame) -> DataFrame:
     """v, c: the smallest node of each linked node's component, by rounds of smallest neighbour and pointer jumping."""
-    edges = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")))
+    edges = s.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    labels = s.write(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")))
     while True:
         near = edges.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("n"))
         step = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "n").alias("c"))
         jump = step.select(F.col("v").alias("c"), F.col("c").alias("j"))
-        new = cut(step.join(jump, "c").select("v", "old", F.least("c", "j").alias("c")))
+        new = s.write(step.join(jump, "c").select("v", "old", F.least("c", "j").alias("c")))
+        s.drop(labels)
         if not new.where(F.col("old") != F.col("c")).limit(1).count():
-            return new.select("v", "c")
-        labels = new.select("v", "c")
+            s.drop(edges)
+            return new
+        labels = new
+
+
+def _mark(text) -> Column:
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8")))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, fp, class_id: a row for each row of docs with an id; fp tells the texts' words apart (null: none)."""
+    """doc_id, mark, fp, class_id, first: a row for each row of docs with an id. mark tells texts apart, fp their words
+    (null: none); class_id is the smallest id of the class, first the smallest mark among that id's texts in the class."""
+    with Scratch(docs.sparkSession) as s:
+        return written(_classes(s, docs, doc_id, text, size, similarity, bands, rows), "classes")
+
+
+def _classes(s: Scratch, docs: DataFrame, doc_id: str, text: str, size: int, similarity: float, bands: int, rows: int) -> DataFrame:
     udf = _sketch_udf(size, bands, rows)
-    rows_in = docs.select(F.col(doc_id).alias("doc_id"), F.encode(F.col(text), "utf-8").alias("x")).where(F.col("doc_id").isNotNull())
-    made = written(rows_in.select("doc_id", udf("x").alias("s")).select("doc_id", "s.*"), "sketches")
-    spread = made.where(F.col("fp").isNotNull()).select("fp", F.length("items").alias("z"), F.explode("bands").alias("key"))
+    rows_in = docs.select(F.col(doc_id).alias("doc_id"), _mark(F.col(text)).alias("mark"), F.encode(F.col(text), "utf-8").alias("x")).where(F.col("doc_id").isNotNull())
+    made = s.write(rows_in.select("doc_id", "mark", udf("x").alias("s")).select("doc_id", "mark", "s.*"), "sketches")
+    # Joins here are by shuffle at every size: a side that is small enough to broadcast on little data isn't on much.
+    spread = made.where(F.col("fp").isNotNull()).select("fp", F.explode("bands").alias("key"))
     first8 = F.xxhash64("fp")
     live = spread.groupBy("key").agg(F.min(first8).alias("lo"), F.max(first8).alias("hi")).where("lo <> hi").select("key")
-    buckets = written(spread.join(live, "key").distinct(), "buckets")
+    buckets = s.write(spread.join(live.hint("merge"), "key").distinct(), "buckets")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    rank = cut(buckets.join(sizes, "key").groupBy("fp").agg(F.sum("n").alias("pr")))
-    ranked = written(buckets.join(rank, "fp"), "ranked")
+    rank = s.write(buckets.join(sizes.hint("merge"), "key").groupBy("fp").agg(F.sum("n").alias("pr")))
+    # The shingles of nodes that share a bucket with another.
+    node = made.where(F.col("fp").isNotNull()).select("fp", "items", "counts").join(rank.select("fp").hint("merge"), "fp", "left_semi")
+    node = s.write(node.groupBy("fp").agg(F.first("items").alias("items"), F.first("counts").alias("counts")), "nodes")
+    ranked = s.write(buckets.join(rank.hint("merge"), "fp").join(node.select("fp", F.length("items").alias("z")).hint("merge"), "fp"), "ranked")
+    s.drop(buckets)
     hubs = ranked.groupBy("key").agg(F.max_by("fp", F.struct("pr", "fp")).alias("hub"))
-    ask = ranked.join(hubs, "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    node = made.join(rank.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"), F.first("counts").alias("counts"))
+    ask = ranked.join(hubs.hint("merge"), "key").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     like = _like_udf(similarity)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The hub's shingles, a's, come last: they aren't copied through a shuffle."""
-        with_b = pairs.join(node.select(F.col("fp").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb")), "b")
-        both = with_b.join(node.select(F.col("fp").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca")), "a")
-        return both.where(like("ia", "ca", "ib", "cb")).select("a", "b")
-
-    links = cut(verified(ask))
-    of = ranked.join(_components(links).withColumnRenamed("v", "fp"), "fp", "left").select("key", "fp", "z", F.coalesce("c", "fp").alias("c"))
-    of = cut(of.withColumn("h", F.xxhash64("c")))
+    # The hub's shingles, a's, come last: they aren't copied through a shuffle.
+    with_b = ask.join(node.select(F.col("fp").alias("b"), F.col("items").alias("ib"), F.col("counts").alias("cb")).hint("merge"), "b")
+    both = with_b.join(node.select(F.col("fp").alias("a"), F.col("items").alias("ia"), F.col("counts").alias("ca")).hint("merge"), "a")
+    links = s.write(both.where(like("ia", "ca", "ib", "cb")).select("a", "b"))
+    comp = _components(s, links)
+    of = ranked.join(comp.select(F.col("v").alias("fp"), "c").hint("merge"), "fp", "left").select("key", "fp", "z", F.coalesce("c", "fp").alias("c"))
+    of = s.write(of.withColumn("h", F.xxhash64("c")))
+    s.drop(ranked)
     # What is left are pairs of two classes in one bucket, neither of them its hub. Of buckets with the same nodes one is enough.
     per_class = of.groupBy("key", "h").agg(F.count("*").alias("n"), F.sum("z").alias("z"), *(F.bit_xor(F.xxhash64("fp", F.lit(k))).alias(f"x{k}") for k in (0, 1)))
     whole = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("z").alias("z"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.max(F.struct("n", "z", "h")).alias("top"))
@@ -343,25 +359,33 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     mixed = mixed.select("key", F.col("top.h").alias("top"), F.when(small, 0).otherwise(blocks(F.col("top.n"), F.col("top.z"))).alias("p"), F.when(small, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("z") - F.col("top.z"))).alias("q"))
     most = (F.col("h") == F.col("top")) & (F.col("p") > 0)
     salt = lambda k: F.pmod(F.xxhash64("fp", F.lit(2)), F.greatest(k, F.lit(1))).cast("int")
-    dealt = of.join(mixed, "key").withColumn("own", F.when(most, salt(F.col("p"))).otherwise(F.col("p") + salt(F.col("q"))))
+    dealt = of.join(mixed.hint("merge"), "key").withColumn("own", F.when(most, salt(F.col("p"))).otherwise(F.col("p") + salt(F.col("q"))))
     dealt = dealt.select("key", "fp", "h", "own", F.explode(F.sequence(F.when(most, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)).alias("o"))
-    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "h", "fp").join(node, "fp").select(*_DEALT)
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(similarity), "a binary, b binary")
-    comp = _components(cut(links.union(found)))
-    comp = comp.withColumnRenamed("v", "fp")
-    narrow = made.select("doc_id", "fp").join(comp, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    least = narrow.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("class_id"))
-    return narrow.join(least, "c", "left").select("doc_id", "fp", F.coalesce("class_id", "doc_id").alias("class_id"))
+    dealt = dealt.select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "h", "fp").join(node.hint("merge"), "fp").select(*_DEALT)
+    found = s.write(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_settle(similarity), "a binary, b binary"))
+    # These join classes, of which there are fewer than nodes.
+    label = lambda x: of.select(F.col("fp").alias(x), F.col("c").alias(f"c{x}")).distinct().hint("merge")
+    wider = _components(s, found.join(label("a"), "a").join(label("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    comp = comp.select(F.col("v").alias("fp"), "c").unionByName(wider.join(comp, "v", "left_anti").select(F.col("v").alias("fp"), F.col("v").alias("c")))
+    comp = comp.join(wider.select(F.col("v").alias("c"), F.col("c").alias("w")).hint("merge"), "c", "left").select("fp", F.coalesce("w", "c").alias("c"))
+    narrow = made.select("doc_id", "mark", "fp").join(comp.hint("merge"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    least = narrow.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    out = narrow.join(least.hint("merge"), "c", "left")
+    return out.select("doc_id", "mark", "fp", F.coalesce("least.doc_id", "doc_id").alias("class_id"), F.coalesce("least.mark", "mark").alias("first"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one row left of each class, the one with the smallest id."""
-    who, nth, mark = fresh(docs, "id"), fresh(docs, "nth"), fresh(docs, "text")
-    gone = classes(docs, doc_id, text, **how).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(who)).distinct()
-    kept = docs.join(gone, docs[doc_id] == gone[who], "left_anti")
-    same = Window.partitionBy(doc_id, mark).orderBy(mark)
-    kept = kept.withColumn(mark, F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8"))).withColumn(nth, F.row_number().over(same))
-    return kept.where((F.col(nth) == 1) | F.col(doc_id).isNull()).drop(nth, mark)
+    """docs with one row left of each class, the one with the smallest id and, of that id's texts, the smallest mark."""
+    who, nth, mark, gone_mark, spot = (fresh(docs, x) for x in ("id", "nth", "mark", "gone", "spot"))
+    of = classes(docs, doc_id, text, **how).where("doc_id <> class_id OR mark <> first")
+    # Rows without an id are spread by their text; they match nothing.
+    at = lambda i, m: F.when(i.isNull(), F.xxhash64(m)).otherwise(F.xxhash64(i))
+    gone = of.select(at(F.col("doc_id"), F.col("mark")).alias(f"{spot}_"), F.col("doc_id").alias(who), F.col("mark").alias(gone_mark)).distinct()
+    rows = docs.withColumn(mark, _mark(F.col(text))).withColumn(spot, at(F.col(doc_id), F.col(mark)))
+    kept = rows.join(gone.hint("merge"), (F.col(spot) == F.col(f"{spot}_")) & (F.col(doc_id) == F.col(who)) & (F.col(mark) == F.col(gone_mark)), "left_anti")
+    same = Window.partitionBy(spot, doc_id, mark).orderBy(mark)
+    kept = kept.withColumn(nth, F.row_number().over(same))
+    return kept.where((F.col(nth) == 1) | F.col(doc_id).isNull()).drop(nth, mark, spot)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
