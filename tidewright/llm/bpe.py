@@ -23,7 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCHES, WORDS = 150_000, 500_000
+STRETCHES, WORDS = 80_000, 160_000
+#: Texts whose ids a worker holds as Python objects at once.
+AT_ONCE = 250
 TYPE = "struct<ids: binary, text: string>"
 #: As the tokenizers library's split step, on text whose white space never belongs to a word.
 _SPACE = regex.compile(r"\p{White_Space}+")
@@ -157,8 +159,12 @@ def encoded(docs: DataFrame, into: str, text: str = "text", path: str | None = N
     @F.arrow_udf(TYPE)
     def code(texts: pa.Array) -> pa.Array:
         bpe = load(path)
-        ids = [bpe.encode(x.as_py()) for x in texts]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["ids", "text"])
+
+        def part(few: pa.Array) -> pa.Array:
+            ids = [bpe.encode(x.as_py()) for x in few]
+            return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.string())], ["ids", "text"])
+
+        return pa.concat_arrays([part(texts[i : i + AT_ONCE]) for i in range(0, max(len(texts), 1), AT_ONCE)])
 
     return docs.withColumn(into, code(F.col(text)))
 

@@ -103,8 +103,8 @@ def _udf(shared):
     @F.arrow_udf(TYPE)
     def search(texts: pa.Array, before: pa.Array) -> pa.Array:
         matcher, out = shared.value, []
-        for text, old in zip(texts.to_pylist(), before.to_pylist(), strict=True):
-            words = words_of(text)
+        for text, old in zip(texts, before.to_pylist(), strict=True):
+            words = words_of(text.as_py())
             spans, items = matcher.match(words)
             if old:
                 spans = merged(spans + [(x["start"], x["end"]) for x in old["hits"]])

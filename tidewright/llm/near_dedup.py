@@ -43,7 +43,7 @@ class _Hashes(dict):
     """Hashes of words; bounded, as it only saves work."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -127,7 +127,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 _SKETCH = "struct<fp: binary, bands: array<bigint>, items: binary, counts: binary>"
 _ARROW = pa.struct([("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("items", pa.binary()), ("counts", pa.binary())])
 #: Texts whose shingles a worker holds unpacked at once.
-AT_ONCE = 500
+AT_ONCE = 250
 
 
 def _sketched(texts: pa.Array, size: int, bands: int, rows: int) -> list[dict | None]:

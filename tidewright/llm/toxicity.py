@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
 
     @F.arrow_udf("array<string>")
     def distinct_words(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted({w.decode("utf-8", "replace") for w in words_of(x)}) for x in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([sorted({w.decode("utf-8", "replace") for w in words_of(x.as_py())}) for x in texts], pa.list_(pa.string()))
 
     rates = [totals[f"y{k}"] / n for k in range(len(categories))]
     told = F.array(*[F.abs(F.col(f"s{k}") - F.col("df") * r) / F.sqrt(F.col("df") * r * (1 - r) + 1) for k, r in enumerate(rates)])
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
 
     @F.arrow_udf("struct<at: array<int>, dense: array<double>>")
     def extract(texts: pa.Array) -> pa.Array:
-        got = [chain.features(x) for x in texts.to_pylist()]
+        got = [chain.features(x.as_py()) for x in texts]
         return pa.array([{"at": sorted(a), "dense": list(d)} for a, d in got], pa.struct([("at", pa.list_(pa.int32())), ("dense", pa.list_(pa.float64()))]))
 
     rows = known.select("id", extract("text").alias("x"), *chosen.columns[1:]).collect()
@@ -148,7 +148,7 @@ def scored(docs: DataFrame, chain: Chain, into: str, text: str = "text") -> Data
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([chain.predict(x) for x in texts.to_pylist()], pa.list_(pa.float64()))
+        return pa.array([chain.predict(x.as_py()) for x in texts], pa.list_(pa.float64()))
 
     return docs.withColumn(into, score(F.encode(F.col(text), "utf-8")))
 
