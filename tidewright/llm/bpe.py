@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCHES, WORDS = 80_000, 160_000
+STRETCHES, WORDS = 100_000, 80_000
 #: Texts whose ids a worker holds as Python objects at once.
 AT_ONCE = 250
 TYPE = "struct<ids: binary, text: string>"
@@ -40,6 +40,26 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Recent:
+    """What was computed lately for keys: at least the last `most` of them, at most twice as many."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
+
+    def __call__(self, key: str) -> bytes:
+        got = self.new.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.make(key)
+                if len(key) > 64:
+                    return got
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
+            self.new[key] = got
+        return got
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -61,8 +81,7 @@ class Bpe:
         self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.lead = tuple({x[0] for x in self.special})
-        self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.word, self.stretch = Recent(self._word, WORDS), Recent(self._stretch, STRETCHES)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word's bytes."""
@@ -96,16 +115,9 @@ class Bpe:
                 push(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            ids = self.merge(word.encode())
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= 64:
-                self.words[word] = got
-        return got
+    def _word(self, word: str) -> bytes:
+        ids = self.merge(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text)
@@ -113,27 +125,19 @@ class Bpe:
             text = text.replace("Σ", "σ")
         return b"".join([self.word(x) for x in self.split.findall(text.lower())])
 
-    def stretch(self, text: str) -> bytes:
+    def _stretch(self, text: str) -> bytes:
         """The packed ids of a stretch without white space."""
-        got = self.stretches.get(text)
-        if got is None:
-            if len(self.stretches) >= STRETCHES:
-                self.stretches.clear()
-            if self.cut is not None and any(x in text for x in self.lead):
-                got = b"".join([struct.pack("<I", self.special[x]) if x in self.special else self.plain(x) for x in self.cut.split(text) if x])
-            else:
-                got = self.plain(text)
-            if len(text) <= 64:
-                self.stretches[text] = got
-        return got
+        if self.cut is not None and any(x in text for x in self.lead):
+            return b"".join([struct.pack("<I", self.special[x]) if x in self.special else self.plain(x) for x in self.cut.split(text) if x])
+        return self.plain(text)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         parts = _SPACE.split(text) if any(x in text for x in _ODD_SPACE) else text.split()
-        known = self.stretches.get
-        return b"".join([known(x) or self.stretch(x) for x in parts if x])
+        known, stretch = self.stretch.new.get, self.stretch
+        return b"".join([known(x) or stretch(x) for x in parts if x])
 
     def decode(self, ids: bytes) -> str:
         token = self.token_bytes

@@ -6,7 +6,8 @@ is searched for random stretches by a running sum, so that a string joined to or
 widened to the nearest of / _ - = or the run's ends. All work on texts is DataFrame expressions.
 
 Defined results: a null text has no spans, and is passed on as null by redacted(). Positions are code points, end
-exclusive. A random-string span that lies within a pattern's span isn't added; one that overlaps it is kept whole. Rows and other columns pass through.
+exclusive. Random-string spans stand beside the patterns' spans, also where both cover the same characters: the models'
+judgement doesn't depend on the patterns. Rows and other columns pass through. Work on a text grows with its length.
 """
 
 from __future__ import annotations
@@ -125,20 +126,41 @@ def stretches(run: Column, weights: list[float]) -> Column:
     return F.array_distinct(F.transform(F.aggregate(_pair_ratios(run, weights), zero, step, closed), widened))
 
 
+#: Elements that a running sum handles at once; its copies grow with the product of this and the number of elements.
+SCANNED = 128
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), where value is computed once though body names it often or inside a function of elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column, joined) -> Column:
+    """start, joined with the elements of an integer array one after the other: as many results as elements, each without
+    its own element; in blocks, so that long arrays aren't copied for each element."""
+    all_of = lambda of, whole: F.aggregate(of, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct(joined(s["at"], whole(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    def summed(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SCANNED).cast("int")), lambda b: F.slice(v, b * SCANNED + 1, SCANNED))
+        return _bound(blocks, lambda parts: F.flatten(F.zip_with(parts, all_of(parts, lambda part: F.aggregate(part, start, joined)), lambda part, at: F.transform(all_of(part, lambda x: x), lambda x: joined(at, x)))))
+
+    return _bound(values, lambda v: F.when(F.size(v) > 0, summed(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """start, kind, end of the parts of matches that keep(matches) names; from what lies between the matches."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("run")))
 
-    def step(s, x):
-        start = s["at"] + F.length(x["gap"])
-        more = F.transform(x["parts"], lambda p: F.struct((start + p["low"]).alias("start"), F.lit(kind).alias("kind"), (start + p["high"]).alias("end")))
-        return F.struct((start + F.length(x["run"])).alias("at"), F.concat(s["out"], more).alias("out"))
+    def placed(pair):
+        steps, parts = pair["steps"], pair["parts"]
+        starts = F.zip_with(_running(F.transform(steps, lambda x: x["gap"] + x["run"]), F.lit(0), lambda a, x: a + x), steps, lambda at, x: at + x["gap"])
+        row = lambda start, p: F.struct((start + p["low"]).alias("start"), F.lit(kind).alias("kind"), (start + p["high"]).alias("end"))
+        return F.flatten(F.zip_with(starts, parts, lambda start, own: F.transform(own, lambda p: row(start, p))))
 
-    rows = F.zip_with(F.slice(gaps, 1, F.size(found)), keep(found), lambda g, m: F.struct(g.alias("gap"), m["run"].alias("run"), m["parts"].alias("parts")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(empty)
+    made = _bound(F.struct(sizes.alias("steps"), F.transform(keep(found), lambda m: m["parts"]).alias("parts")), placed)
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def found(docs: DataFrame, into: str, text: str = "text", random: list[str] | None = None, ordinary: list[str] | None = None) -> DataFrame:
@@ -157,10 +179,8 @@ def found(docs: DataFrame, into: str, text: str = "text", random: list[str] | No
 
         return F.transform(runs, one)
 
-    base = F.concat(_spans(t, ASSIGN, 0, long), _spans(t, ACCESS, 1, everything), _spans(t, HEX, 2, everything))
-    out = docs.withColumn(into, base).withColumn(into, F.struct(F.col(into).alias("base"), _spans(t, RUN, 3, odd).alias("more")))
-    free = F.filter(f"{into}.more", lambda m: ~F.exists(F.col(f"{into}.base"), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return out.withColumn(into, F.array_sort(F.concat(f"{into}.base", free)))
+    spans = F.concat(_spans(t, ASSIGN, 0, long), _spans(t, ACCESS, 1, everything), _spans(t, HEX, 2, everything), _spans(t, RUN, 3, odd))
+    return docs.withColumn(into, F.array_sort(spans))
 
 
 def redacted(docs: DataFrame, text: str = "text", mask: str = MASK, **how) -> DataFrame:
@@ -169,15 +189,18 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = MASK, **how) -> Da
 
     at = fresh(docs, "spans")
     c = F.col(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s, x):
-        new = x["start"] >= s["at"]
-        piece = F.concat(s["out"], F.substring(c, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(new, piece).otherwise(s["out"]).alias("out"))
 
-    masked = F.aggregate(F.col(at), zero, step, lambda s: F.concat(s["out"], F.substring(c, s["at"] + 1, F.length(c))))
-    return found(docs, at, text, **how).withColumn(text, F.when(F.size(at) > 0, masked).otherwise(c)).drop(at)
+    def masked(pair):
+        # Four bytes a character, as a position in UTF-8 is found by counting from the start. The mark in front is dropped
+        # when read, and so keeps one that the text itself begins with.
+        spans, wide = pair["spans"], pair["wide"]
+        reach = _running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        part = lambda low, high: F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substring(wide, 4 * low + 1, 4 * (high - low))), "utf-32")
+        pieces = F.zip_with(spans, reach, lambda x, r: F.when(x["start"] >= r, F.concat(part(r, x["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(F.transform(spans, lambda x: x["end"])), F.octet_length(wide)))
+
+    both = F.struct(F.col(at).alias("spans"), F.encode(c, "utf-32").alias("wide"))
+    return found(docs, at, text, **how).withColumn(text, F.when(F.size(at) > 0, _bound(both, masked)).otherwise(c)).drop(at)
 
 
 def _joined(spans: Column) -> Column:
