@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, written
+
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+#: A block of benchmark text; its windows take about 200 times its bytes, on the driver and in each worker.
+BLOCK_BYTES = 2 << 20
 TYPE = "struct<n_words: bigint, hits: array<struct<start: bigint, end: bigint>>, items: array<string>>"
 _ARROW = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
@@ -118,8 +121,9 @@ def _udf(shared):
 def matched(docs: DataFrame, benchmark: DataFrame, into: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column named into: n_words; hits, merged word positions [start, end); items, sorted ids.
 
-    The benchmark, a stated set of test texts, is measured first and goes to the executors in blocks of about
-    block_bytes; every document meets every block, and nothing is shuffled.
+    The benchmark, a stated set of test texts, is measured first. Up to block_bytes go to the executors at once; of a
+    larger one, a block after the other: the rows with what was found so far are written in between, and the block before
+    is given up, so that a task holds one block only. Nothing is shuffled.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.encode(item_text, "utf-8").alias("text")).where(F.length("text") > 0)
@@ -127,12 +131,17 @@ def matched(docs: DataFrame, benchmark: DataFrame, into: str, text: str = "text"
     blocks = max(1, -(-total // block_bytes))
     found: Column = F.lit(None).cast(TYPE)
     out = docs
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        search = _udf(spark.sparkContext.broadcast(Matcher([(r["id"], bytes(r["text"])) for r in rows], window)))
-        out = out.withColumn(into, search(F.encode(F.col(text), "utf-8"), found))
-        found = F.col(into)
-    return out
+    with Scratch(spark) as s:
+        for k in range(blocks):
+            rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
+            shared = spark.sparkContext.broadcast(Matcher([(r["id"], bytes(r["text"])) for r in rows], window))
+            out = out.withColumn(into, _udf(shared)(F.encode(F.col(text), "utf-8"), found))
+            found = F.col(into)
+            if k + 1 < blocks:
+                out, before = s.write(out, "searched"), out
+                s.drop(before)
+                shared.destroy()
+        return written(out, "searched") if blocks > 1 else out
 
 
 def n_hit(found: str) -> Column:
