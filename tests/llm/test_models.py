@@ -134,6 +134,42 @@ def test_lm_scores(make):
         r, w = out[i], tokens(t)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(x in counts for x in w), n)
         assert abs(r.base_score - sum(math.log10((counts.get(x, 0) + 1) / (n + 1 * (v + 1))) for x in w)) < 1e-9 and r.score < 0 and math.isfinite(r.score)
+    # The score, by listing all segmentations of each word: the pieces' shares, one round of expected counts, whole words.
+    import public_tokenizers
+
+    first = lm_scoring.Lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    prior, plain = np.exp(first.logp), {p: k for k, p in enumerate(first.pieces) if k != first.end and not p.startswith("<0x")}
+
+    def segmentations(s):
+        if not s:
+            yield []
+            return
+        for tail in segmentations(s[1:]):
+            yield [*(first.bytes + b for b in s[0].encode()), *tail]
+        for k in range(1, len(s) + 1):
+            if s[:k] in plain:
+                for tail in segmentations(s[k:]):
+                    yield [plain[s[:k]], *tail]
+
+    listed = {w: list(segmentations("\u2581" + w)) for w in counts if w and len(w) < 9}
+    few = [(i, t) for i, t in rows if len(t or "") < 250 and all(len(x or "") < 9 for x in tokens(t))]
+    few_counts = {}
+    for i, t in few:
+        for w in tokens(t) if not held(i) else ():
+            few_counts[w] = few_counts.get(w, 0) + 1
+    expected = np.zeros(len(prior))
+    expected[first.end] = few_counts[None]
+    for w, c in few_counts.items():
+        if w:
+            weights = [math.prod(prior[k] for k in x) for x in listed[w]]
+            for x, p in zip(listed[w], weights):
+                for k in x:
+                    expected[k] += c * p / sum(weights)
+    again = (expected + lm_scoring.PRIOR * prior) / (expected.sum() + lm_scoring.PRIOR * prior.sum())
+    n, v = sum(few_counts.values()), len(few_counts)
+    p = lambda w: again[first.end] if w is None else sum(math.prod(again[k] for k in x) for x in listed[w])
+    for r in lm_scoring.scored(make(few, "doc_id long, text string")).collect():
+        assert abs(r.score - sum(math.log10((few_counts.get(w, 0) + v * p(w)) / (n + v)) for w in tokens(texts[r.doc_id % len(texts)]))) < 1e-6
     assert lm_scoring.scored(make([], "doc_id long, text string")).count() == 0
 
 
@@ -192,6 +228,30 @@ def test_urls(make):
     assert [r.verdict for r in rows[9:11]] == ["block", "allow"]
 
 
+def test_url_rules_by_join(make):
+    urls = [f"http://{'a.' * (k % 3)}h{k % 50}.org/{'x' * (k % 7)}/{k}" for k in range(300)] + ["http://.org/", None, "http://h3.org./x", "nothing", "http://a..h1.org/x/"]
+    rules = [(f"h{k}.org/{'x' * (k % 5)}", "allow" if k % 2 else "block") for k in range(60)] + [(f"s{k}.net/p{k}/", "block") for k in range(100_000)] + [("org/", "block"), ("h1.org/x/", "allow"), ("h1.org/x/", "block")]
+    pages = make([(k, u) for k, u in enumerate(urls)], "page_id long, path string")
+    joined = {r.page_id: r for r in url_filter.judged(pages, url="path", rules=rules).collect()}
+    few = [r for r in rules if not r[0].startswith("s")]
+    assert len(joined) == len(urls) and len(few) < url_filter.INLINE_RULES
+    for r in url_filter.judged(pages, url="path", rules=few).collect():
+        assert tuple(r) == tuple(joined[r.page_id])
+
+
+def test_url_model_on_hosts_it_was_not_fitted_on(spark, make):
+    # Hosts that the labelled table doesn't have, neither whole nor their pairs of words.
+    block = ["spam-farm", "casino-win", "cheap-pills", "adult-x", "free-bets", "poker-palace", "viagra-shop", "xxx-videos", "payday-cash", "lottery-scam", "torrents-cracked", "replica-bags"]
+    allow = ["theron", "ththor", "tionsh", "encyclopedia", "grandmother", "carpentry", "philosophy", "elections", "geology", "courthouse", "violin", "daffodils", "parliament", "breadmaking", "observatory", "linguistics"]
+    known = " ".join(u for u, _ in url_filter.LABELLED)
+    assert not any(h in known for h in block + allow)
+    rows = [(k, f"https://{sub}{h}.example.org/{p}", h in block) for k, h in enumerate(block + allow) for sub in ("", "www.", "m.") for p in ("", "en/14", "de/200.html")]
+    got = url_filter.judged(make(rows, "page_id long, url string, bad boolean"), rules=()).collect()
+    caught = [r.verdict == "block" for r in got if r.bad]
+    wrong = [r.verdict == "block" for r in got if not r.bad]
+    assert sum(caught) / len(caught) > 0.8 and sum(wrong) / len(wrong) < 0.05, (sum(caught) / len(caught), sum(wrong) / len(wrong))
+
+
 def test_chat(spark, make):
     rows = [(1, 0, "user", "a\\l <s> [INST]"), (1, 1, "assistant", "</s>\\s"), (1, 2, None, None), (None, 0, "user", "x"), (3, 5, "assistant", "é😀"), (3, 5, "assistant", "é😀"), (4, None, "tool", "<<s>>")]
     out = {r.conv: r for r in chat.formatted(chat.linear(make(rows, "conv_id long, turn long, role string, text string"))).select("conv", "formatted", "loss", chat.read_back(F.col("formatted")).alias("back")).collect()}

@@ -159,3 +159,18 @@ def test_sharding(make):
     assert sharding.sharded(df.limit(0), "doc_id", F.octet_length("text")).count() == 0
     (only,) = {r["shard"] for r in sharding.sharded(df, "doc_id", F.octet_length("text"), limit=1 << 30).collect()}
     assert only == ""
+
+
+def test_sharding_clashing_names_and_files(make, spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randint(0, 300), "own", k, 1) for k in range(500)]
+    df = make(rows, "doc_id long, text string, shard string, Depth long, n_bytes int")
+    out = sharding.sharded(df, "doc_id", F.octet_length("text"), limit=4000)
+    assert sorted(out.columns) == ["depth", "doc_id", "n_bytes", "oversize", "shard", "text"] and out.count() == 500
+    assert out.groupBy("shard").agg(F.sum("n_bytes").alias("b")).where("b > 4000").count() == 0 and out.where("shard = 'own'").count() == 0
+    sharding.write(df, "doc_id", F.octet_length("text"), str(tmp_path / "shards"), limit=4000)
+    folders = sorted((tmp_path / "shards").glob("shard=*"))
+    assert len(folders) == out.select("shard").distinct().count() > 10
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    back = spark.read.option("basePath", str(tmp_path / "shards")).parquet(str(tmp_path / "shards"))
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted(r[:2] for r in rows)

@@ -2,7 +2,9 @@
 
 An existing unigram vocabulary gives the pieces and, by their scores, their first probabilities; one round of expected
 counts over the words of the training documents refits these. A word's probability is the sum over all its segmentations
-into pieces, by a forward recursion in log space; a text's is the product over its words and the end mark.
+into pieces, by a forward recursion in log space. Besides, each word of the training documents is an arc of its own, with
+its share of the tokens; the pieces have the rest, as much as there are distinct tokens to all (Witten and Bell's weight).
+So what the model knows grows with the corpus. A text's probability is the product over its words and the end mark.
 
 Documents are read once, into chunks of about CHUNK tokens: each holds its documents' words as numbers of the chunk's
 own dictionary. Counts and probabilities are looked up for dictionaries, not for tokens, so hot words cost one row a
@@ -243,9 +245,16 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out
     def word_score(words: pa.Array) -> pa.Array:
         return pa.array(shared.value.log_probabilities(words.to_pylist()) / math.log(10))
 
-    known = counted.select("word", "c", word_score("word").alias("s"))
+    # log10 of (c + distinct * p) / (n + distinct), with p from the pieces, which is too small for a double in long words.
+    p, known = F.col("p"), counted.select("word", "c", word_score("word").alias("p"))
+    if n_train:
+        seen = F.log10((F.col("c") + distinct * F.pow(F.lit(10.0), p)) / (n_train + distinct))
+        p = F.when(F.col("c") > 0, seen).otherwise(p + math.log10(distinct / (n_train + distinct)))
+    known = known.select("word", "c", p.alias("s"))
     looked_up = entries.select("chunk", "at", "word").join(known, "word").select("chunk", "at", "c", "s")
     end_score = float(lattice.logp[lattice.end] / math.log(10))
+    if n_train:
+        end_score = math.log10((ends + distinct * 10**end_score) / (n_train + distinct))
     kind = rows.schema["id"].dataType.simpleString()
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -8,6 +8,7 @@ their own with more bits.
 Defined results: a null key is a key like any other. Rows alike in every column share an address; where these alone
 exceed the limit, they go to overflow shards ("prefix+input partition.number") of as many as fit. A row larger than
 the limit has a shard to itself, with oversize true. An empty table has no shards. A null size counts as 0 bytes.
+Columns that are called like the added ones count for the address but are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 LIMIT = 64 << 20
+#: The query's limit, by which tables of all sizes are split.
+QUERY_LIMIT = 256 << 10
+ADDED = ("n_bytes", "shard", "depth", "oversize")
 BITS, STEP, SPARE = 120, 8, 3
 #: Directories of at most so many slots are broadcast, at under 100 bytes each; larger ones are joined by shuffle.
 BROADCAST_SLOTS = 50_000
@@ -53,7 +57,7 @@ def sharded(df: DataFrame, key: str, size: Column, limit: int = LIMIT, columns:
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    own = [df[c] for c in (columns or df.columns)]
+    own = [df[c] for c in (columns or df.columns) if c.lower() not in ADDED]
     rows = df.select(F.struct(*own).alias("row"), address(df[key], [df[c] for c in df.columns]).alias("bits"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("n_bytes"), F.spark_partition_id().alias("part"))
     rows = written(rows, "addresses")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -94,7 +98,7 @@ def write(df: DataFrame, key: str, size: Column, path: str, limit: int = LIMIT)
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharded(docs, "doc_id", F.octet_length("text"), columns=["doc_id"]).select("doc_id", F.col("n_bytes"), "shard", F.col("depth").cast("bigint").alias("depth"), "oversize")
+    return sharded(docs, "doc_id", F.octet_length("text"), QUERY_LIMIT, ["doc_id"]).select("doc_id", F.col("n_bytes"), "shard", F.col("depth").cast("bigint").alias("depth"), "oversize")
 
 
 #: Addresses of distinct keys differ within the first 60 bits here, so the key's bits are enough.
@@ -103,6 +107,6 @@ WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, lpad(to_base(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT), 2), 60, '0') AS bits FROM documents
 ), p AS (SELECT doc_id, n_bytes, k, substr(bits, 1, k) AS node FROM (SELECT *, unnest(range(0, 40)) AS k FROM d)),
 s AS (SELECT k, node, sum(n_bytes) AS bytes, count(*) AS n FROM p GROUP BY k, node),
-leaf AS (SELECT doc_id, min(p.k) AS depth, min(n_bytes) AS n_bytes FROM p JOIN s ON p.k = s.k AND p.node = s.node WHERE bytes <= {LIMIT} OR n = 1 GROUP BY doc_id)
-SELECT d.doc_id, d.n_bytes, substr(bits, 1, depth) AS shard, depth, d.n_bytes > {LIMIT} AS oversize FROM d JOIN leaf ON d.doc_id = leaf.doc_id
+leaf AS (SELECT doc_id, min(p.k) AS depth, min(n_bytes) AS n_bytes FROM p JOIN s ON p.k = s.k AND p.node = s.node WHERE bytes <= {QUERY_LIMIT} OR n = 1 GROUP BY doc_id)
+SELECT d.doc_id, d.n_bytes, substr(bits, 1, depth) AS shard, depth, d.n_bytes > {QUERY_LIMIT} AS oversize FROM d JOIN leaf ON d.doc_id = leaf.doc_id
 """
