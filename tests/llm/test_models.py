@@ -228,6 +228,15 @@ def test_urls(make):
     assert [r.verdict for r in rows[9:11]] == ["block", "allow"]
 
 
+def test_url_grams(spark):
+    import xxhash
+
+    for h, p in (("ab.c", "/x"), ("", ""), ("é", "")):
+        text = f"^{h} {p}$"
+        want = [xxhash.xxh64(text[i : i + n].encode(), seed=42).intdigest() % 1000 for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+        assert spark.range(1).select(url_filter.grams(F.lit(h), F.lit(p), buckets=1000).alias("g")).first().g == want
+
+
 def test_url_rules_by_join(make):
     urls = [f"http://{'a.' * (k % 3)}h{k % 50}.org/{'x' * (k % 7)}/{k}" for k in range(300)] + ["http://.org/", None, "http://h3.org./x", "nothing", "http://a..h1.org/x/"]
     rules = [(f"h{k}.org/{'x' * (k % 5)}", "allow" if k % 2 else "block") for k in range(60)] + [(f"s{k}.net/p{k}/", "block") for k in range(100_000)] + [("org/", "block"), ("h1.org/x/", "allow"), ("h1.org/x/", "block")]

@@ -87,7 +87,12 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def grams(host: Column, path: Column, sizes: tuple[int, ...] = GRAMS, buckets: int = BUCKETS) -> Column:
     """The buckets of all n-grams of "^host path$", repeated ones as often as they occur."""
     s = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
-    each = [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i, n=n: F.pmod(F.xxhash64(F.substring(s, i, F.lit(n))), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>")) for n in sizes]
+
+    def of_size(n: int) -> Column:  # the function of an element must have one parameter only; a second one is its position
+        parts = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.pmod(F.xxhash64(F.substring(s, i, F.lit(n))), F.lit(buckets)).cast("int"))
+        return F.when(F.length(s) >= n, parts).otherwise(F.array().cast("array<int>"))
+
+    each = [of_size(n) for n in sizes]
     return F.concat(*each)
 
 
