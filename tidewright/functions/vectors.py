@@ -21,8 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Cosine clamped to 0..1; null where a vector is null or empty, lengths differ or a norm vanishes."""
-    fit = a.isNotNull() & b.isNotNull() & (F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm(a) > 1e-7) & (norm(b) > 1e-7)
+    """Cosine clamped to 0..1; null where a vector is null or empty, lengths differ or the product of the norms vanishes."""
+    fit = a.isNotNull() & b.isNotNull() & (F.size(a) > 0) & (F.size(a) == F.size(b)) & (norm(a) * norm(b) > 1.1920929e-07)
     return F.when(fit, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b)))))
 
 
@@ -47,3 +47,14 @@ def hamming(a: Column, b: Column) -> Column:
     """Differing bits of the words that both have."""
     n = F.least(F.size(a), F.size(b))
     return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def normalized(v: Column, least: float = 1e-8) -> Column:
+    """The vector at length 1; null where it's empty, has a component that isn't finite, or is shorter than `least`."""
+    size = norm(v)
+    return F.when((F.size(v) > 0) & ~F.isnan(size) & (size < float("inf")) & (size >= least), F.transform(v, lambda x: x.cast("double") / size))
+
+
+def is_unit(v: Column, tolerance: float = 1e-6) -> Column:
+    size = norm(v)
+    return F.coalesce((F.size(v) > 0) & ~F.isnan(size) & (F.abs(size - 1) <= tolerance), F.lit(False))

@@ -5,6 +5,8 @@ Each entry names the views it reads, then the text. Doubles are rounded to 6 pla
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import views
@@ -33,11 +35,11 @@ SELECT camera, session, min(t) AS first_ms, max(t) AS last_ms, count(*) AS frame
     "adaptive_threshold_inputs": (("obs",), "SELECT camera, seq, round(avg(conf) OVER (PARTITION BY camera ORDER BY t, seq ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 6) AS mean_activity FROM obs"),
     # Footfall
     "olap_footfall": (("trajectories",), """
-SELECT count(*) AS footfall, count(DISTINCT track_id) AS tracks, coalesce(round(avg(dwell), 6), 0) AS mean_dwell_ms, coalesce(max(CASE WHEN rn = n - CAST(floor(n / 2) AS BIGINT) THEN dwell END), 0) AS median_dwell_ms, coalesce(round(avg(velocity), 6), 0) AS mean_velocity
-FROM (SELECT *, row_number() OVER (ORDER BY dwell DESC) AS rn, count(*) OVER () AS n FROM trajectories WHERE t BETWEEN 0 AND 1500000000 AND dwell >= 5000) q"""),
+SELECT count(*) AS footfall, count(DISTINCT track_id) AS tracks, coalesce(round(avg(dwell), 6), 0) AS mean_dwell_ms, coalesce(CAST(percentile_disc(5e-1) WITHIN GROUP (ORDER BY dwell DESC) AS BIGINT), 0) AS median_dwell_ms, coalesce(round(avg(velocity), 6), 0) AS mean_velocity
+FROM trajectories WHERE t BETWEEN 0 AND 1500000000 AND dwell >= 5000"""),
     "olap_footfall_by_class": (("trajectories",), """
-SELECT class_name, count(*) AS footfall, count(DISTINCT track_id) AS tracks, round(avg(dwell), 6) AS mean_dwell_ms, CAST(max(CASE WHEN rn = n - CAST(floor(n / 2) AS BIGINT) THEN dwell END) AS BIGINT) AS median_dwell_ms, round(avg(velocity), 6) AS mean_velocity
-FROM (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY dwell DESC) AS rn, count(*) OVER (PARTITION BY class_name) AS n FROM trajectories WHERE t BETWEEN 0 AND 1500000000) q GROUP BY class_name"""),
+SELECT class_name, count(*) AS footfall, count(DISTINCT track_id) AS tracks, round(avg(dwell), 6) AS mean_dwell_ms, CAST(percentile_disc(5e-1) WITHIN GROUP (ORDER BY dwell DESC) AS BIGINT) AS median_dwell_ms, round(avg(velocity), 6) AS mean_velocity
+FROM trajectories WHERE t BETWEEN 0 AND 1500000000 GROUP BY class_name"""),
     # Intervals and evidence
     "interval_union": (("memory_events",), """
 WITH m AS (SELECT camera, start_ms, end_ms, max(end_ms) OVER (PARTITION BY camera ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM memory_events),
@@ -49,14 +51,12 @@ WITH e AS (SELECT camera, count(*) AS events, CAST(sum(end_ms - start_ms) AS BIG
 g AS (SELECT camera, count(DISTINCT track_id) AS entities, count(CASE WHEN t >= 0 AND t < 1000000000 THEN 1 END) AS detections FROM obs WHERE camera < 3 GROUP BY camera)
 SELECT e.camera, e.events, e.camera_ms, g.entities, g.detections FROM e LEFT JOIN g ON e.camera = g.camera"""),
     "point_in_interval": (("obs", "memory_events"), """
-WITH b AS (SELECT event_id, camera, start_ms, end_ms, CAST(floor(start_ms / 16000e0) AS BIGINT) AS b0 FROM memory_events WHERE start_ms < end_ms),
-s AS (SELECT event_id, camera, start_ms, end_ms, b0 AS bucket FROM b UNION ALL SELECT event_id, camera, start_ms, end_ms, b0 + 1 FROM b),
+WITH s AS (SELECT event_id, camera, start_ms, end_ms, {buckets} AS bucket FROM memory_events WHERE start_ms < end_ms),
 o AS (SELECT seq, camera, t, CAST(floor(t / 16000e0) AS BIGINT) AS bucket FROM obs),
 j AS (SELECT o.seq, o.camera, s.event_id, row_number() OVER (PARTITION BY o.seq ORDER BY s.start_ms, s.event_id) AS rn FROM o JOIN s ON o.camera = s.camera AND o.bucket = s.bucket AND o.t >= s.start_ms AND o.t < s.end_ms)
 SELECT seq, camera, event_id FROM j WHERE rn = 1"""),
     "evidence_anchors": (("obs", "memory_events"), """
-WITH b AS (SELECT event_id, camera, start_ms, end_ms, CAST(floor(start_ms / 16000e0) AS BIGINT) AS b0 FROM memory_events),
-s AS (SELECT event_id, camera, start_ms, end_ms, b0 AS bucket FROM b UNION ALL SELECT event_id, camera, start_ms, end_ms, b0 + 1 FROM b),
+WITH s AS (SELECT event_id, camera, start_ms, end_ms, {buckets} AS bucket FROM memory_events WHERE start_ms < end_ms),
 o AS (SELECT seq, camera, track_id, t, CAST(floor(t / 16000e0) AS BIGINT) AS bucket FROM obs),
 j AS (SELECT o.track_id, s.event_id, o.seq, row_number() OVER (PARTITION BY o.track_id, s.event_id ORDER BY o.t, o.seq) AS a, row_number() OVER (PARTITION BY o.track_id, s.event_id ORDER BY o.t DESC, o.seq DESC) AS z
   FROM o JOIN s ON o.camera = s.camera AND o.bucket = s.bucket AND o.t >= s.start_ms AND o.t < s.end_ms)
@@ -92,10 +92,11 @@ SELECT camera, frame, n, CASE WHEN n >= 35 OR n >= 25 THEN 'point_localization'
 FROM (SELECT camera, CAST(floor(t / 7200000e0) AS BIGINT) AS frame, count(*) AS n, round(max(conf) * 7, 6) AS ratio, round(avg(x) * 10, 6) AS shake FROM obs GROUP BY camera, CAST(floor(t / 7200000e0) AS BIGINT)) q"""),
     "enf_correlation": (("obs",), "SELECT camera, CASE WHEN count(*) < 4 THEN 0e0 ELSE round(greatest(-1, least(1, coalesce(corr(x, y), 0))), 6) END AS rho FROM obs GROUP BY camera"),
     "pce": (("obs",), """
-WITH c AS (SELECT camera, seq, row_number() OVER (PARTITION BY camera ORDER BY seq) AS nth, conf AS v FROM obs), m AS (SELECT camera, v, nth - 1 AS k, CAST(floor((nth - 1) / 16e0) AS BIGINT) AS py, (nth - 1) % 16 AS px FROM c WHERE nth <= 256),
-top AS (SELECT camera, max(v) AS peak FROM m GROUP BY camera), f AS (SELECT m.camera, peak, min(k) AS first FROM m JOIN top ON m.camera = top.camera AND m.v = top.peak GROUP BY m.camera, peak),
-p AS (SELECT camera, peak, first % 16 AS qx, CAST(floor(first / 16e0) AS BIGINT) AS qy FROM f)
-SELECT m.camera, round(max(peak) * max(peak) / avg(CASE WHEN abs(py - qy) > 2 OR abs(px - qx) > 2 THEN v * v END), 6) AS pce FROM m JOIN p ON m.camera = p.camera GROUP BY m.camera"""),
+WITH c AS (SELECT camera, seq, row_number() OVER (PARTITION BY camera ORDER BY seq) - 1 AS nth, conf AS v FROM obs), m AS (SELECT camera, CAST(floor(nth / 256e0) AS BIGINT) AS matrix, v, nth % 256 AS k, CAST(floor((nth % 256) / 16e0) AS BIGINT) AS py, nth % 16 AS px FROM c),
+top AS (SELECT camera, matrix, max(v) AS peak, count(*) AS cells FROM m GROUP BY camera, matrix), f AS (SELECT m.camera, m.matrix, peak, cells, min(k) AS first FROM m JOIN top ON m.camera = top.camera AND m.matrix = top.matrix AND m.v = top.peak GROUP BY m.camera, m.matrix, peak, cells),
+p AS (SELECT camera, matrix, peak, cells, first % 16 AS qx, CAST(floor(first / 16e0) AS BIGINT) AS qy FROM f),
+e AS (SELECT m.camera, m.matrix, max(peak) AS peak, max(cells) AS cells, sum(CASE WHEN abs(py - qy) > 2 OR abs(px - qx) > 2 THEN v * v END) AS outside, avg(CASE WHEN abs(py - qy) > 2 OR abs(px - qx) > 2 THEN v * v END) AS mean FROM m JOIN p ON m.camera = p.camera AND m.matrix = p.matrix GROUP BY m.camera, m.matrix)
+SELECT camera, matrix, CASE WHEN cells < 256 OR coalesce(outside, 0) <= 1e-9 THEN -1e-1 ELSE round(peak * peak / mean, 6) END AS pce FROM e"""),
     "liveness_verdict": (("obs",), """
 SELECT camera, frames, CASE WHEN frames < 200 THEN 'calibrating' WHEN pce >= 60 AND rho >= 85e-2 THEN 'unverified_signals' WHEN pce < 60 AND rho < 85e-2 THEN 'signals_below_threshold' WHEN pce < 60 THEN 'sensor_signal_mismatch' ELSE 'enf_signal_mismatch' END AS status, false AS is_authentic
 FROM (SELECT camera, count(*) AS frames, round(max(conf) * max(conf) / avg(conf * conf), 6) AS pce, round(coalesce(corr(x, y), 0), 6) AS rho FROM obs GROUP BY camera) q"""),
@@ -147,7 +148,11 @@ SELECT camera, track_id, win, n FROM (SELECT *, row_number() OVER (PARTITION BY
 }
 
 #: What differs in the few texts that can't be the same.
-DIALECT = {"spark": {"{g}": "", "{pct}": "percentile"}, "duck": {"{g}": ", 'g'", "{pct}": "quantile_cont"}}
+_FROM, _TO = "CAST(floor(start_ms / 16000e0) AS BIGINT)", "CAST(floor((end_ms - 1) / 16000e0) AS BIGINT)"
+DIALECT = {
+    "spark": {"{g}": "", "{pct}": "percentile", "{buckets}": f"explode(sequence({_FROM}, {_TO}))"},
+    "duck": {"{g}": ", 'g'", "{pct}": "quantile_cont", "{buckets}": f"unnest(range({_FROM}, {_TO} + 1))"},
+}
 
 
 def _text(name: str, engine: str) -> str:
@@ -158,13 +163,12 @@ def _text(name: str, engine: str) -> str:
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    body, needed = _text(name, "spark"), SHARED[name][0]
-    for t in views.TABLES:
-        if any(t in x.split() for x in (body.replace("(", " ").replace(")", " "), " ".join("events" for _ in needed))):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for v in needed:
-        spark.sql(views.sql_text(v, True)).createOrReplaceTempView(v)
-    return spark.sql(body.strip())
+    """The query over its tables and views, which are passed as frames: views of the caller's session stay as they are."""
+    body, needed = _text(name, "spark").strip(), SHARED[name][0]
+    frames = {v: views.view(spark, sf_dir, v) for v in needed}
+    frames |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in views.TABLES if t not in frames and re.search(rf"\b(FROM|JOIN) {t}\b", body)}
+    text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(frames)})\b", lambda m: f"{m[1]} {{{m[2]}}}" + ("" if re.match(r"\s+(AS\s+)?(?!(WHERE|GROUP|JOIN|ON|LEFT|ORDER|UNION|LIMIT|HAVING)\b)[a-z]\w*", body[m.end():]) else f" AS {m[2]}"), body) if frames else body
+    return spark.sql(text, **frames)
 
 
 QUERIES = {name: (lambda spark, sf_dir, name=name: run(name, spark, sf_dir)) for name in SHARED}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OBSERVATION = "track_id string, class_name string, t bigint, seq bigint, conf float, x float, y float, w float, h float"
@@ -32,9 +32,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def uuid7() -> Column:
+    """A random id that begins with the time in milliseconds (RFC 9562, version 7)."""
+    random = F.regexp_replace(F.expr("uuid()"), "-", "")
+    time = F.lower(F.lpad(F.hex(F.unix_millis(F.current_timestamp())), 12, "0"))
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(random, 14, 3)), F.substring(random, 17, 4), F.substring(random, 21, 12))
+
+
 def envelopes(rows: DataFrame, kind: str, key: str) -> DataFrame:
     """key and value of each row as a sink's message, ready for format("kafka")."""
-    payload = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.expr("uuid()").alias("message_id"), F.col(key).cast("string").alias("job_id"), F.lit(kind).alias("kind"), F.struct("*").alias("payload")))
+    payload = F.to_json(F.struct(F.lit(1).alias("schema_version"), uuid7().alias("message_id"), F.col(key).cast("string").alias("job_id"), F.lit(kind).alias("kind"), F.struct("*").alias("payload")))
     return rows.select(F.col(key).cast("string").alias("key"), payload.alias("value"))
 
 

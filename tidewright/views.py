@@ -16,7 +16,7 @@ VIEWS = {
   event_type AS class_name, {ms} - 1704067200000 AS t, (event_id % 97) / 97.0e0 AS conf, ((event_id * 37) % 900) / 1000.0e0 AS x, ((event_id * 53) % 900) / 1000.0e0 AS y, 1e-1 AS w, 1e-1 AS h FROM events""",
     "trajectories": """SELECT event_id, user_id AS track_id, event_type AS class_name, {ms} - 1704067200000 AS t, CAST(floor(value * 1000) AS BIGINT) AS dwell, (event_id % 30) / 10.0e0 AS velocity,
   17e0 + ((event_id * 37) % 1000) / 1000.0e0 AS lat, 78e0 + ((event_id * 53) % 1000) / 1000.0e0 AS lng FROM events""",
-    "memory_events": """SELECT event_id, user_id % 4 AS camera, user_id % 3 AS job, {ms} - 1704067200000 AS start_ms, {ms} - 1704067200000 + 1000 + (event_id * 7919) % 15000 AS end_ms, value AS quality FROM events""",
+    "memory_events": """SELECT event_id, user_id % 4 AS camera, user_id % 3 AS job, {ms} - 1704067200000 AS start_ms, {ms} - 1704067200000 + 1000 + (event_id * 7919) % 15000 + CASE WHEN event_id % 50 = 0 THEN 3600000 ELSE 0 END AS end_ms, value AS quality FROM events""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
