@@ -1,6 +1,7 @@
 """Small cases with known results."""
 
 import itertools
+import random
 import uuid
 
 import numpy as np
@@ -50,9 +51,53 @@ def test_hungarian_against_all_permutations():
 
 def test_merging_never_overlaps_one_camera(spark):
     tracks = spark.createDataFrame([(0, "a", "1", 0, 10), (0, "b", "1", 0, 10), (0, "a", "2", 5, 15)], "job int, camera string, track_id string, t0 long, t1 long")
-    decided = spark.createDataFrame([(0, "a", "1", "b", "1", 0.95, "final_match"), (0, "a", "2", "b", "1", 0.91, "final_match")], "job int, s_camera string, s_track_id string, t_camera string, t_track_id string, score double, state string")
-    got = {(r.camera, r.track_id): r.component for r in cluster.global_tracks(tracks, decided, "job").collect()}
-    assert got == {("a", "1"): "a:1", ("b", "1"): "a:1", ("a", "2"): "a:2"}
+    decided = spark.createDataFrame([(0, "a", "1", "b", "1", 0.95, "final_match", "x"), (0, "a", "2", "b", "1", 0.91, "final_match", "y")], "job int, s_camera string, s_track_id string, t_camera string, t_track_id string, score double, state string, association_id string")
+    rows = cluster.merged(tracks, decided, "job").collect()
+    assert {(r.camera, r.track_id): r.component for r in rows if r.track_id} == {("a", "1"): "a:1", ("b", "1"): "a:1", ("a", "2"): "a:2"}
+    assert {r.association_id: r.state for r in rows if r.association_id} == {"x": "final_match", "y": "ambiguous"}
+
+
+def test_assignment_by_parts_against_all_choices(spark):
+    rng = np.random.default_rng(1)
+    rows = [(r, "a", f"s{i}", "b", f"t{j}", float(s)) for r in range(12) for i in range(4) for j in range(3) if (s := rng.random()) > 0.45]
+    got = {}
+    for r in cluster.assigned(spark.createDataFrame(rows, "relation int, s_camera string, s_track_id string, t_camera string, t_track_id string, score double"), 0.0).collect():
+        got.setdefault(r.relation, []).append((r.s_track_id, r.t_track_id, r.score))
+    for rel in range(12):
+        own = [(x[2], x[4], x[5]) for x in rows if x[0] == rel]
+        choices = [c for n in range(4) for c in itertools.combinations(own, n) if len({x[0] for x in c}) == n and len({x[1] for x in c}) == n]
+        best = max(sum(1 + x[2] for x in c) for c in choices)
+        mine = got.get(rel, [])
+        assert len({x[0] for x in mine}) == len(mine) == len({x[1] for x in mine}) and abs(sum(1 + x[2] for x in mine) - best) < 1e-9
+
+
+def test_identities_against_a_plain_merge(spark):
+    rng = random.Random(3)
+    tracks = [(0, rng.choice("abc"), f"t{k}", "person", s, s + rng.randrange(30), 0.5 + rng.random() / 2) for k in range(40) for s in [rng.randrange(100)]]
+    pairs = [(0, a[1], a[2], b[1], b[2], round(rng.random(), 3), rng.choice(["final_match", "provisional", "ambiguous"]), f"id{n:03d}") for n, (a, b) in enumerate(rng.sample(list(itertools.combinations(tracks, 2)), 60)) if a[1] != b[1]]
+    t = spark.createDataFrame(tracks, "job int, camera string, track_id string, class_name string, t0 long, t1 long, conf double")
+    d = spark.createDataFrame(pairs, "job int, s_camera string, s_track_id string, t_camera string, t_track_id string, score double, state string, association_id string")
+    merged = cluster.merged(t, d, "job")
+    groups = [[x] for x in tracks]
+    states = {}
+    for _, sc, st, tc, tt, score, state, aid in sorted(pairs, key=lambda p: (-p[5], p[7])):
+        a, b = (next(g for g in groups if any((x[1], x[2]) == e for x in g)) for e in ((sc, st), (tc, tt)))
+        if state != "ambiguous" and a is not b:
+            if any(x[1] == y[1] and x[4] <= y[5] and y[4] <= x[5] for x in a for y in b):
+                state = "ambiguous"
+            else:
+                groups.remove(b)
+                a += b
+        states[aid] = state
+    assert {r.association_id: r.state for r in merged.where("association_id IS NOT NULL").collect()} == states
+    got = {tuple(sorted((s.camera, s.track_id) for s in r.segments)): r for r in cluster.identities(t, d, merged, "job", "j").collect()}
+    assert sorted(got) == sorted(tuple(sorted((x[1], x[2]) for x in g)) for g in groups)
+    for g in groups:
+        names = {(x[1], x[2]) for x in g}
+        own = [p for p in pairs if states[p[7]] != "ambiguous" and {(p[1], p[2]), (p[3], p[4])} <= names]
+        r = got[tuple(sorted(names))]
+        assert list(r.associations) == sorted(p[7] for p in own) and abs(r.confidence - (min(p[5] for p in own) if own else min(x[6] for x in g))) < 1e-9
+        assert r.global_id == str(uuid.uuid5(uuid.NAMESPACE_OID, "j:" + "|".join(sorted(f"{c}:{i}" for c, i in names))))
 
 
 def test_cells_ids_vectors(spark):

@@ -7,11 +7,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidewright.plans import checks, frames, shared
+from tidewright.plans import checks, frames, shared, stories
 
 DATA = "/root/testdata/sf0.001"
-SQL = frames.SQL | shared.SQL | checks.SQL
-QUERIES = frames.QUERIES | shared.QUERIES | checks.QUERIES
+SQL = frames.SQL | shared.SQL | checks.SQL | stories.SQL
+QUERIES = frames.QUERIES | shared.QUERIES | checks.QUERIES | stories.QUERIES
 
 
 def plain(v):

@@ -72,13 +72,57 @@ def unfenced(text: Column) -> Column:
     return F.when(body != "", body).otherwise(F.trim(text))
 
 
-#: Ordered states by family, and transitions of the families without an order.
-STATES = {"door_openness": ["closed", "partly_open", "open", "unclear"], "camera_distance": ["far", "middle", "near", "unclear"]}
+#: The states of each family, in order, and what a change from one to the next is called, up and down.
+STATES = {
+    "door_openness": ["closed", "ajar", "open", "unclear"],
+    "support_relation": ["off_reference", "on_reference", "unclear"],
+    "region_membership": ["outside", "inside", "unclear"],
+    "camera_distance": ["far", "middle", "near", "unclear"],
+}
+MOVES = {"door_openness": ("opening", "closing"), "support_relation": ("placing", "removing"), "region_membership": ("arriving", "leaving"), "camera_distance": ("approaching", "receding")}
 
 
 def transition(family: str, before: Column, after: Column) -> Column:
-    """The move between two ordered states; null if unclear or unchanged."""
+    """The move between two states; null if unclear or unchanged. A state that the family doesn't have is an error."""
     order = F.array(*map(F.lit, STATES[family]))
-    up, down = ("opening", "closing") if family == "door_openness" else ("approaching", "receding")
+    up, down = MOVES[family]
     a, b = F.array_position(order, before), F.array_position(order, after)
-    return F.when((before == "unclear") | (after == "unclear") | (a == b) | (a == 0) | (b == 0), None).when(b > a, up).otherwise(down)
+    known = (a > 0) & (b > 0)
+    moved = F.when((before == "unclear") | (after == "unclear") | (a == b), None).when(b > a, up).otherwise(down)
+    return F.when(F.coalesce(known, F.lit(False)), moved).otherwise(F.raise_error(F.concat(F.lit(f"unknown state of {family}: "), F.coalesce(before, F.lit("null")), F.lit(" or "), F.coalesce(after, F.lit("null")))).cast("string"))
+
+
+def state_gate(family: str, before: Column, after: Column, identity: Column, reference_visible: Column, claimed: Column, area_ratio: Column, least_change: float = 0.15) -> Column:
+    """passed or rejected: a claim stands if the same target was seen beside a visible reference, its states moved as claimed
+    and, for a distance, its box grew or shrank enough. area_ratio is null where there is no box."""
+    move = transition(family, before, after)
+    sound = (identity == "same") & reference_visible & (move == claimed)
+    if family == "camera_distance":
+        small = ((move == "approaching") & (area_ratio < 1 + least_change)) | ((move == "receding") & (area_ratio > 1 / (1 + least_change)))
+        sound = sound & ~F.coalesce(small | F.isnan(area_ratio), F.lit(False))
+    return F.when(F.coalesce(sound, F.lit(False)), "passed").otherwise("rejected")
+
+
+def scene_graph(triplets: Column, horizon_ms: int = 3000) -> tuple[Column, Column]:
+    """transitions and hazards of an array of struct subject, relationship, object: those that push or strike."""
+    rough = F.filter(triplets, lambda t: F.contains(t["relationship"], F.lit("push")) | F.contains(t["relationship"], F.lit("strike")))
+    moves = F.transform(rough, lambda t: F.struct(F.concat(t["subject"], F.lit(" approaching "), t["object"]).alias("from_state"), F.concat_ws(" ", t["subject"], t["relationship"], t["object"]).alias("to_state"), F.lit(400).alias("delta_ms"), F.lit(0.88).alias("score")))
+    hazards = F.transform(rough, lambda t: F.concat(F.lit(f"Physical altercation anticipated within {horizon_ms}ms between "), t["subject"], F.lit(" and "), t["object"]))
+    return moves, hazards
+
+
+def interpretation_window(start: Column, end: Column, duration: Column, margin: int = 2000, most: int = 20_000) -> tuple[Column, Column]:
+    lo = F.greatest(start - margin, F.lit(0))
+    return lo, F.least(end + margin, F.greatest(duration, end), lo + most)
+
+
+def midpoints(start: Column, end: Column, n: int) -> Column:
+    """The middles of n equal parts of an interval."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + (i + 0.5) / n * (end - start))
+
+
+def grouped_decode(targets: Column, end: Column, size: int, most: int = 32, span_ms: int = 20_000, most_bytes: int = 32 << 20) -> Column:
+    """Whether frames at some times may be decoded in one run."""
+    n = F.size(targets)
+    span = end - F.array_min(targets)
+    return n.between(2, most) & (span > 0) & (span <= span_ms) & (n * (size * size * 8 + 65536) <= most_bytes)

@@ -118,7 +118,7 @@ def face_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = record(spark, sf_dir, "review").withColumnRenamed("cas", "case")
-    reviews = rows.where("n_visible > 0").select("case", "reviewer", "identity", "reference_visible", F.col("s0").alias("object"), F.col("reviewed").alias("n_frames"), F.col("s1").alias("sha"), F.array("s0", "reviewer").alias("states"))
+    reviews = rows.where("n_visible > 0").select("case", "reviewer", "identity", "reference_visible", F.col("s0").alias("object"), F.col("reviewed").alias("n_frames"), F.col("s1").alias("sha"), F.array("s0", F.when(F.col("case") % 9 == 0, "huge").otherwise(F.col("s1"))).alias("states"))
     return v.review_packets(rows.select("case", "n_frames", F.lit("far").alias("sha")), reviews)
 
 
@@ -165,7 +165,7 @@ SELECT camera, """ + _codes({"number": "count(*) > 256", "hole": "bool_or(first_
     "validate_interpretations": _sql("SELECT event_id, " + _codes({"status": "status = 'maybe'", "answer": "answer = ' '", "times": "t0 >= t1 OR t1 >= 1000", "citation": "i0 = i1", "two_visible": "status = 'supported' AND (v0 <> 'visible' OR v1 <> 'visible')", "gate": "status = 'supported' AND NOT gate_passed", "repeated_image": "status = 'supported' AND (i0 = i1 OR p0 = p1)", "absence": "status = 'not_observed' AND NOT (i0 <> i1 AND v0 = 'absent' AND v1 = 'absent')"}) + " AS violations FROM claims", "claims"),
     "track_guards": _sql("SELECT event_id, CASE WHEN event_id % 6 <> 1 AND (status = 'not_observed' OR (status = 'supported' AND (lost OR t0 = t1 OR (event_id % 3 = 0 AND same_pixels)))) THEN 'uncertain' ELSE status END AS tracked, CASE WHEN status = 'supported' AND mean_difference <= 5e-1 THEN 'uncertain' ELSE status END AS moving FROM claims", "claims"),
     "face_bounds": views.with_views("SELECT scope, t, seq, " + _codes({"box": "conf = 0 OR x + conf > 1 OR y + h > 1", "time": "t <= earlier"}) + " AS violations FROM (SELECT camera AS scope, t, seq, x, y, h, conf, lag(t) OVER (PARTITION BY camera ORDER BY seq) AS earlier FROM obs) q", "obs"),
-    "review_check": _sql("SELECT cas AS \"case\", CASE WHEN n_visible = 0 THEN 'missing' ELSE " + _codes({"reviewer": "reviewer = ''", "frames": "reviewed <> n_frames", "hash": "s1 <> 'far'", "state": "true"}) + " END AS violations FROM review", "review"),
+    "review_check": _sql("SELECT cas AS \"case\", CASE WHEN n_visible = 0 THEN 'missing' ELSE " + _codes({"reviewer": "reviewer = ''", "frames": "reviewed <> n_frames", "hash": "s1 <> 'far'", "state": "cas % 9 = 0"}) + " END AS violations FROM review", "review"),
     "review_score": _sql("SELECT cas AS \"case\", CASE " + " ".join(f"WHEN {w} THEN '{n}'" for w, n, _ in _CASES) + " END AS category, CASE " + " ".join(f"WHEN {w} THEN {p}" for w, _, p in _CASES) + " END AS passed FROM review", "review"),
     "source_scope": _sql("WITH k AS (SELECT *, CASE WHEN path LIKE '/data/%' AND path NOT LIKE '%..%' THEN CAST(substr(path, 7) AS INT) END AS n FROM reads) SELECT request, " + _codes({"root": "n IS NULL", "revoked": "n % 7 = 0 AND n <= 28", "interval": "start_ms >= end_ms", "missing": "n IS NULL OR n >= 60", "hash": "n < 60 AND CAST(n % 5 AS VARCHAR) <> sha"}) + " AS violations FROM k", "reads"),
     "unit_vectors": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) END AS u, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS n2 FROM embeddings)

@@ -31,8 +31,6 @@ SELECT camera, seq, epoch, CASE WHEN epoch > 0 THEN concat('session-', CAST(epoc
 WITH gaps AS (SELECT camera, seq, t, CASE WHEN t - lag(t) OVER (PARTITION BY camera ORDER BY t, seq) > 3600000 THEN 1 ELSE 0 END AS cut FROM obs),
 parts AS (SELECT camera, t, CAST(sum(cut) OVER (PARTITION BY camera ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM gaps)
 SELECT camera, session, min(t) AS first_ms, max(t) AS last_ms, count(*) AS frames FROM parts GROUP BY camera, session"""),
-    "clock_offset": (("obs",), "SELECT seq, greatest(0, t - 1800000 * camera) AS corrected FROM obs"),
-    "adaptive_threshold_inputs": (("obs",), "SELECT camera, seq, round(avg(conf) OVER (PARTITION BY camera ORDER BY t, seq ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING), 6) AS mean_activity FROM obs"),
     # Footfall
     "olap_footfall": (("trajectories",), """
 SELECT count(*) AS footfall, count(DISTINCT track_id) AS tracks, coalesce(round(avg(dwell), 6), 0) AS mean_dwell_ms, coalesce(CAST(percentile_disc(5e-1) WITHIN GROUP (ORDER BY dwell DESC) AS BIGINT), 0) AS median_dwell_ms, coalesce(round(avg(velocity), 6), 0) AS mean_velocity
@@ -46,10 +44,6 @@ WITH m AS (SELECT camera, start_ms, end_ms, max(end_ms) OVER (PARTITION BY camer
 i AS (SELECT camera, start_ms, end_ms, CAST(sum(CASE WHEN reach IS NULL OR start_ms > reach THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m),
 u AS (SELECT camera, island, max(end_ms) - min(start_ms) AS span FROM i GROUP BY camera, island)
 SELECT camera, CAST(sum(span) AS BIGINT) AS union_ms, count(*) AS islands FROM u GROUP BY camera"""),
-    "evidence_statistics": (("memory_events", "obs"), """
-WITH e AS (SELECT camera, count(*) AS events, CAST(sum(end_ms - start_ms) AS BIGINT) AS camera_ms FROM memory_events WHERE start_ms < 1000000000 AND end_ms > 0 GROUP BY camera),
-g AS (SELECT camera, count(DISTINCT track_id) AS entities, count(CASE WHEN t >= 0 AND t < 1000000000 THEN 1 END) AS detections FROM obs WHERE camera < 3 GROUP BY camera)
-SELECT e.camera, e.events, e.camera_ms, g.entities, g.detections FROM e LEFT JOIN g ON e.camera = g.camera"""),
     "point_in_interval": (("obs", "memory_events"), """
 WITH s AS (SELECT event_id, camera, start_ms, end_ms, {buckets} AS bucket FROM memory_events WHERE start_ms < end_ms),
 o AS (SELECT seq, camera, t, CAST(floor(t / 16000e0) AS BIGINT) AS bucket FROM obs),
@@ -65,8 +59,6 @@ SELECT track_id, event_id, max(CASE WHEN a = 1 THEN seq END) AS first_seq, max(C
 SELECT camera, track_id, seq AS from_seq, next_seq AS to_seq, gap_ms FROM (SELECT camera, track_id, seq, lead(seq) OVER (PARTITION BY camera, track_id ORDER BY t, seq) AS next_seq, lead(t) OVER (PARTITION BY camera, track_id ORDER BY t, seq) - t AS gap_ms FROM obs) q WHERE next_seq IS NOT NULL"""),
     "entity_first_last": (("obs",), "SELECT camera, track_id, min(t) AS first_ms, max(t) AS last_ms, count(DISTINCT t) > 1 AS has_history FROM obs GROUP BY camera, track_id"),
     "entity_cap": (("obs",), "SELECT camera, track_id, first_ms, rn FROM (SELECT camera, track_id, first_ms, row_number() OVER (PARTITION BY camera ORDER BY first_ms, track_id) AS rn FROM (SELECT camera, track_id, min(t) AS first_ms FROM obs GROUP BY camera, track_id) a) q WHERE rn <= 12"),
-    "journey_evidence": (("obs", "memory_events"), """
-SELECT m.event_id, m.camera FROM memory_events m WHERE EXISTS (SELECT 1 FROM obs o WHERE o.camera = m.camera AND o.seq = m.event_id AND o.class_name = 'click')"""),
     "eligibility_filter": (("memory_events",), "SELECT event_id, camera, start_ms, end_ms FROM memory_events WHERE job = 1 AND camera IN (0, 2) AND end_ms >= 500000000 AND start_ms <= 1500000000"),
     "memory_job_totals": (("memory_events",), "SELECT job, count(DISTINCT camera) AS cameras, count(*) AS events, max(end_ms) AS duration_ms FROM memory_events GROUP BY job"),
     "missing_graph_cameras": (("memory_events", "obs"), "SELECT count(*) AS missing FROM (SELECT DISTINCT camera FROM memory_events) m WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.camera = m.camera AND o.camera < 3)"),
@@ -108,11 +100,6 @@ SELECT node, round(weight, 6) AS weight, round(CASE WHEN l > 0 AND q >= 7e-1 AND
     "vector_sizing": ((), """
 SELECT bits, CAST(floor(1.1e0 * (bits / 8e0 * 384 + 8 * 16) * 100000000) AS BIGINT) AS bytes FROM (SELECT 32 AS bits UNION ALL SELECT 16 UNION ALL SELECT 8 UNION ALL SELECT 1) q"""),
     # Cluster, control, evaluation
-    "camera_overlap_pairs": ((), "SELECT a.n_nationkey AS source, b.n_nationkey AS target FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
-    "association_temporal_scores": ((), """
-SELECT s.s_suppkey AS source, t.s_suppkey AS target, round(CASE WHEN gap > 1500 THEN 0 ELSE 1 - gap / 1500e0 END, 6) AS overlap_score
-FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey < t.s_suppkey JOIN (SELECT n_nationkey, 100 * n_nationkey AS gap FROM nation) n ON n.n_nationkey = s.s_nationkey"""),
-    "cluster_report": (("obs",), "SELECT count(DISTINCT camera) AS cameras, count(*) AS observations, count(DISTINCT track_id) AS tracks, round(avg(conf), 6) AS mean_confidence FROM obs"),
     "revocation_antijoin": (("memory_events",), "SELECT m.event_id, m.camera FROM memory_events m WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = m.event_id AND o.o_orderstatus = 'F')"),
     "revocation_purge": (("memory_events",), "SELECT DISTINCT m.camera, m.job FROM memory_events m WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = m.event_id AND s.s_acctbal > 0)"),
     "idempotent_submit": ((), """
@@ -140,7 +127,6 @@ SELECT item_id, lower(text) LIKE '%car%' OR lower(text) LIKE '%vehicle%' OR lowe
   CASE WHEN lower(text) LIKE '%before%' OR lower(text) LIKE '%after%' OR lower(text) LIKE '%why%' OR lower(text) LIKE '%preceded%' THEN 'causal_investigation' WHEN lower(text) LIKE '%count%' OR lower(text) LIKE '%how many%' OR lower(text) LIKE '%footfall%' THEN 'footfall_aggregation' ELSE 'visual_semantic_search' END AS query_type FROM benchmark"""),
     "url_redaction": ((), "SELECT page_id, regexp_replace(url, '^([a-z]+)://.*', '***') AS hidden, substr(regexp_replace(url, '[^A-Za-z0-9_-]', '_'{g}), 1, 80) AS component FROM pages"),
     "percentiles": ((), "SELECT lang, round({pct}(n_chars, 5e-1), 6) AS p50, round({pct}(n_chars, 95e-2), 6) AS p95 FROM documents GROUP BY lang"),
-    "interpretation_windows": (("memory_events",), "SELECT event_id, greatest(start_ms - 2000, 0) AS lo, least(end_ms + 2000, greatest(start_ms - 2000, 0) + 20000) AS hi, start_ms + (end_ms - start_ms) / 2e0 AS midpoint FROM memory_events"),
     "trace_exclusive_time": (("memory_events",), "SELECT p.event_id, p.end_ms - p.start_ms - coalesce(CAST(sum(c.end_ms - c.start_ms) AS BIGINT), 0) AS exclusive_ms FROM memory_events p LEFT JOIN memory_events c ON c.event_id = p.event_id * 2 + 1 GROUP BY p.event_id, p.start_ms, p.end_ms"),
     "diverse_track_windows": (("obs",), """
 WITH w AS (SELECT camera, track_id, CAST(floor(t / 20000e0) AS BIGINT) AS win, min(t) AS t0, max(t) AS t1, max(x) AS big, min(x) + 1e-3 AS small, count(*) AS n FROM obs GROUP BY camera, track_id, CAST(floor(t / 20000e0) AS BIGINT))
