@@ -100,13 +100,6 @@ SELECT node, round(weight, 6) AS weight, round(CASE WHEN l > 0 AND q >= 7e-1 AND
     "vector_sizing": ((), """
 SELECT bits, CAST(floor(1.1e0 * (bits / 8e0 * 384 + 8 * 16) * 100000000) AS BIGINT) AS bytes FROM (SELECT 32 AS bits UNION ALL SELECT 16 UNION ALL SELECT 8 UNION ALL SELECT 1) q"""),
     # Cluster, control, evaluation
-    "revocation_antijoin": (("memory_events",), "SELECT m.event_id, m.camera FROM memory_events m WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = m.event_id AND o.o_orderstatus = 'F')"),
-    "revocation_purge": (("memory_events",), "SELECT DISTINCT m.camera, m.job FROM memory_events m WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = m.event_id AND s.s_acctbal > 0)"),
-    "idempotent_submit": ((), """
-SELECT key, fingerprint, CASE WHEN first_fingerprint = fingerprint THEN CASE WHEN rn = 1 THEN 'created' ELSE 'existing' END ELSE 'conflict' END AS outcome, rn
-FROM (SELECT o_custkey AS key, o_orderpriority AS fingerprint, first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS first_fingerprint, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) q"""),
-    "index_job_progress": ((), "SELECT o_custkey AS job, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, count(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS queued, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS running, count(*) = count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS completed FROM orders GROUP BY o_custkey"),
-    "index_queue_order": ((), "SELECT o_orderkey, slot FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS slot FROM orders WHERE o_orderstatus <> 'F') q WHERE slot <= 8"),
     "newest_jobs": ((), "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) q WHERE rn <= 3"),
     "corpus_inventory": ((), "SELECT lang, source, count(*) AS clips, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source"),
     "split_leakage": ((), "SELECT md5(text) AS digest, count(DISTINCT source) AS splits FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(DISTINCT source) > 1"),
