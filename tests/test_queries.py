@@ -7,11 +7,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidewright.plans import checks, frames, operations, shared, stories
+from tidewright.plans import checks, frames, measures, operations, shared, stories
 
 DATA = "/root/testdata/sf0.001"
-SQL = frames.SQL | shared.SQL | checks.SQL | stories.SQL | operations.SQL
-QUERIES = frames.QUERIES | shared.QUERIES | checks.QUERIES | stories.QUERIES | operations.QUERIES
+SQL = frames.SQL | shared.SQL | checks.SQL | stories.SQL | operations.SQL | measures.SQL
+QUERIES = frames.QUERIES | shared.QUERIES | checks.QUERIES | stories.QUERIES | operations.QUERIES | measures.QUERIES
 
 
 def plain(v):

@@ -104,8 +104,10 @@ def index_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deployment_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _orders(spark, sf_dir).select(F.col("o_custkey").alias("name"), (F.col("o_orderkey") % 40 + 1).alias("generation"), F.when(F.col("o_orderkey") % 6 == 0, "short").otherwise(F.sha2(F.col("o_orderpriority"), 256)).alias("fingerprint"), F.when(F.col("o_orderkey") % 4 == 0, "").otherwise("r").alias("receipt"), (F.col("o_orderstatus") == "P").alias("active"))
-    return control.deployments(rows.dropDuplicates(["name", "generation"]).where("generation IS NOT NULL").select("name", "generation", F.when(F.col("generation") % 6 == 0, "short").otherwise(F.sha2((F.col("generation") % 9).cast("string"), 256)).alias("fingerprint"), F.when(F.col("generation") % 4 == 0, "").otherwise("r").alias("receipt"), (F.col("generation") % 5 == 0).alias("active")))
+    rows = _orders(spark, sf_dir).select(F.col("o_custkey").alias("name"), (F.col("o_orderkey") % 40 + 1).alias("generation")).distinct()
+    g = F.col("generation")
+    rows = rows.select("name", "generation", F.when(g % 6 == 0, "short").otherwise(F.sha2((g % 9).cast("string"), 256)).alias("fingerprint"), F.when(g % 4 == 0, "").otherwise("r").alias("receipt"), (g % 5 == 0).alias("active"))
+    return control.deployments(rows)
 
 
 def storage_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

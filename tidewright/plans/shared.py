@@ -23,14 +23,6 @@ SELECT camera, track_id, class_name, round(weight, 6) AS weight, classes FROM ra
     "distinct_classes": (("obs",), "SELECT DISTINCT class_name FROM obs"),
     "timestamp_sampler": (("obs",), """
 SELECT camera, seq, t FROM (SELECT camera, seq, t, row_number() OVER (PARTITION BY camera, CAST(floor((t / 1000.0e0 + 1e-3) / 3600e0) AS BIGINT) ORDER BY t, seq) AS rn FROM obs) q WHERE rn = 1"""),
-    "association_epochs": (("obs",), """
-WITH gaps AS (SELECT camera, track_id, seq, t, t - lag(t) OVER (PARTITION BY camera ORDER BY t, seq) AS gap FROM obs),
-epochs AS (SELECT camera, track_id, seq, t, CAST(sum(CASE WHEN gap > 3600000 THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM gaps)
-SELECT camera, seq, epoch, CASE WHEN epoch > 0 THEN concat('session-', CAST(epoch AS VARCHAR(20)), ':', track_id) ELSE track_id END AS session_track FROM epochs"""),
-    "capture_sessions": (("obs",), """
-WITH gaps AS (SELECT camera, seq, t, CASE WHEN t - lag(t) OVER (PARTITION BY camera ORDER BY t, seq) > 3600000 THEN 1 ELSE 0 END AS cut FROM obs),
-parts AS (SELECT camera, t, CAST(sum(cut) OVER (PARTITION BY camera ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM gaps)
-SELECT camera, session, min(t) AS first_ms, max(t) AS last_ms, count(*) AS frames FROM parts GROUP BY camera, session"""),
     # Footfall
     "olap_footfall": (("trajectories",), """
 SELECT count(*) AS footfall, count(DISTINCT track_id) AS tracks, coalesce(round(avg(dwell), 6), 0) AS mean_dwell_ms, coalesce(CAST(percentile_disc(5e-1) WITHIN GROUP (ORDER BY dwell DESC) AS BIGINT), 0) AS median_dwell_ms, coalesce(round(avg(velocity), 6), 0) AS mean_velocity
@@ -68,20 +60,6 @@ WITH f AS (SELECT camera, seq, t, CASE WHEN 5e-1 * x + 5e-1 * y >= 3e-1 THEN 1 E
 s AS (SELECT *, avg(CASE WHEN pass = 1 THEN raw ELSE 0e0 END) OVER (PARTITION BY camera ORDER BY t, seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS smoothed, sum(CASE WHEN pass = 1 AND raw >= 5e-1 THEN 0 ELSE 1 END) OVER (PARTITION BY camera ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS grp FROM f),
 r AS (SELECT *, CASE WHEN pass = 1 AND raw >= 5e-1 THEN CAST(sum(CASE WHEN pass = 1 AND raw >= 5e-1 THEN 1 ELSE 0 END) OVER (PARTITION BY camera, grp ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) ELSE 0 END AS run FROM s)
 SELECT camera, seq, CASE WHEN pass = 1 THEN round(smoothed, 6) ELSE 0e0 END AS smoothed, run, run >= 5 AND round(smoothed, 9) >= 5e-1 AS alert FROM r"""),
-    "motion_entropy_gating": (("obs",), """
-WITH v AS (SELECT camera, CAST(floor(t / 3600000e0) AS BIGINT) AS frame, sqrt(x * x + y * y) * 40 AS mag, CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS intra FROM obs),
-b AS (SELECT camera, frame, CAST(least(floor(mag / 5), 7) AS BIGINT) AS bin, count(*) AS n FROM v WHERE mag > 2 GROUP BY camera, frame, CAST(least(floor(mag / 5), 7) AS BIGINT)),
-h AS (SELECT camera, frame, CAST(sum(n) AS BIGINT) AS active, sum(n) AS total FROM b GROUP BY camera, frame),
-e AS (SELECT b.camera, b.frame, least(greatest(-sum((n / (total * 1e0)) * log2(n / (total * 1e0))) / 3, 0), 1) AS entropy FROM b JOIN h ON b.camera = h.camera AND b.frame = h.frame GROUP BY b.camera, b.frame),
-f AS (SELECT camera, frame, count(*) AS blocks, CAST(sum(intra) + sum(CASE WHEN mag > 2 THEN 1 ELSE 0 END) AS BIGINT) AS foreground FROM v GROUP BY camera, frame)
-SELECT f.camera, f.frame, foreground, round(least(foreground / 100e0, 1), 6) AS ratio, round(coalesce(entropy, 0), 6) AS entropy, foreground / 100e0 >= 35e-3 OR (coalesce(entropy, 0) >= 25e-2 AND coalesce(active, 0) > 8) AS decode,
-  round(1200 + 100 * CASE WHEN foreground / 100e0 > 35e-3 THEN 1 - least(foreground / 100e0, 1) ELSE 5e-2 END, 6) AS loss
-FROM f LEFT JOIN e ON f.camera = e.camera AND f.frame = e.frame LEFT JOIN h ON f.camera = h.camera AND f.frame = h.frame"""),
-    "motion_vector_classes": (("obs",), "SELECT seq, CASE WHEN sqrt(x * x + y * y) * 60 <= 2 THEN 'noise' WHEN sqrt(x * x + y * y) * 60 > 50 THEN 'edge' WHEN abs(x * 60) > 15e-1 OR abs(y * 60) > 15e-1 THEN 'foreground' ELSE 'background' END AS category FROM obs"),
-    "tracker_routing": (("obs",), """
-SELECT camera, frame, n, CASE WHEN n >= 35 OR n >= 25 THEN 'point_localization' WHEN ratio >= 6 THEN 'sr_track' WHEN shake >= 45e-1 THEN 'bot_sort' ELSE 'byte_track' END AS tracker,
-  CASE WHEN n >= 25 THEN 'ultra_dense_handover' WHEN n >= 20 THEN 'dense' ELSE 'sparse_to_moderate' END AS regime
-FROM (SELECT camera, CAST(floor(t / 7200000e0) AS BIGINT) AS frame, count(*) AS n, round(max(conf) * 7, 6) AS ratio, round(avg(x) * 10, 6) AS shake FROM obs GROUP BY camera, CAST(floor(t / 7200000e0) AS BIGINT)) q"""),
     "enf_correlation": (("obs",), "SELECT camera, CASE WHEN count(*) < 4 THEN 0e0 ELSE round(greatest(-1, least(1, coalesce(corr(x, y), 0))), 6) END AS rho FROM obs GROUP BY camera"),
     "pce": (("obs",), """
 WITH c AS (SELECT camera, seq, row_number() OVER (PARTITION BY camera ORDER BY seq) - 1 AS nth, conf AS v FROM obs), m AS (SELECT camera, CAST(floor(nth / 256e0) AS BIGINT) AS matrix, v, nth % 256 AS k, CAST(floor((nth % 256) / 16e0) AS BIGINT) AS py, nth % 16 AS px FROM c),
@@ -89,9 +67,6 @@ top AS (SELECT camera, matrix, max(v) AS peak, count(*) AS cells FROM m GROUP BY
 p AS (SELECT camera, matrix, peak, cells, first % 16 AS qx, CAST(floor(first / 16e0) AS BIGINT) AS qy FROM f),
 e AS (SELECT m.camera, m.matrix, max(peak) AS peak, max(cells) AS cells, sum(CASE WHEN abs(py - qy) > 2 OR abs(px - qx) > 2 THEN v * v END) AS outside, avg(CASE WHEN abs(py - qy) > 2 OR abs(px - qx) > 2 THEN v * v END) AS mean FROM m JOIN p ON m.camera = p.camera AND m.matrix = p.matrix GROUP BY m.camera, m.matrix)
 SELECT camera, matrix, CASE WHEN cells < 256 OR coalesce(outside, 0) <= 1e-9 THEN -1e-1 ELSE round(peak * peak / mean, 6) END AS pce FROM e"""),
-    "liveness_verdict": (("obs",), """
-SELECT camera, frames, CASE WHEN frames < 200 THEN 'calibrating' WHEN pce >= 60 AND rho >= 85e-2 THEN 'unverified_signals' WHEN pce < 60 AND rho < 85e-2 THEN 'signals_below_threshold' WHEN pce < 60 THEN 'sensor_signal_mismatch' ELSE 'enf_signal_mismatch' END AS status, false AS is_authentic
-FROM (SELECT camera, count(*) AS frames, round(max(conf) * max(conf) / avg(conf * conf), 6) AS pce, round(coalesce(corr(x, y), 0), 6) AS rho FROM obs GROUP BY camera) q"""),
     "contribution_epoch": ((), """
 WITH f AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 <> 0 THEN 1e0 ELSE 0e0 END AS l, least(greatest(((s_suppkey % 10) / 10e0) * 4e-1 + 35e-2 * 9e-1 + 25e-2 * 95e-2, 0), 1) AS q,
     least(greatest((((s_suppkey % 5) / 5e0) * 6e-1 + 5e-1 * 4e-1) * 2 / sqrt(1 + s_nationkey % 4), 1e-1), 2) AS h, least(greatest(1 + least((s_suppkey % 50) * 5e-2, 2), 5e-1), 5) AS d, 1 + 5e-1 * (1 - exp(-1e-2 * greatest(s_suppkey % 365, 0))) AS m FROM supplier),
@@ -103,27 +78,11 @@ SELECT bits, CAST(floor(1.1e0 * (bits / 8e0 * 384 + 8 * 16) * 100000000) AS BIGI
     "newest_jobs": ((), "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) q WHERE rn <= 3"),
     "corpus_inventory": ((), "SELECT lang, source, count(*) AS clips, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang, source"),
     "split_leakage": ((), "SELECT md5(text) AS digest, count(DISTINCT source) AS splits FROM documents WHERE text IS NOT NULL GROUP BY md5(text) HAVING count(DISTINCT source) > 1"),
-    "retrieval_metrics": ((), """
-WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), j AS (SELECT r.source, r.rank, CASE WHEN l.toxic = 1 THEN 1 ELSE 0 END AS rel FROM r LEFT JOIN labels l ON l.doc_id = r.doc_id),
-t AS (SELECT source, CAST(sum(rel) AS BIGINT) AS relevant FROM j GROUP BY source), i AS (SELECT rank, sum(1 / log2(rank + 1)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS ideal FROM (SELECT DISTINCT rank FROM j WHERE rank <= 10) q)
-SELECT t.source, relevant, max(CASE WHEN rank = 1 THEN rel END) AS hit_at_1, round(sum(CASE WHEN j.rank <= 10 THEN rel ELSE 0 END) / (relevant * 1e0), 6) AS recall_at_10, round(sum(CASE WHEN j.rank <= 10 THEN rel / log2(j.rank + 1) ELSE 0 END) / max(ideal), 6) AS ndcg_at_10
-FROM j JOIN t ON j.source = t.source JOIN (SELECT t.source AS s, ideal FROM t JOIN i ON i.rank = least(t.relevant, 10)) n ON n.s = t.source WHERE relevant > 0 GROUP BY t.source, relevant"""),
-    "rrf_fusion": ((), """
-WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)
-SELECT doc_id, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT doc_id, rank FROM a WHERE rank <= 50 UNION ALL SELECT doc_id, rank FROM b WHERE rank <= 50) u GROUP BY doc_id"""),
     "graph_edges": ((), """
 SELECT conv_id * 100 + turn AS source, conv_id * 100 + turn + 1 AS target, 'temporal' AS kind FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) q WHERE nxt = turn + 1
 UNION ALL SELECT a.vec_id, b.vec_id, 'bridge' FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10
 UNION ALL SELECT b.vec_id, a.vec_id, 'bridge' FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10"""),
-    "query_decoupling": ((), """
-SELECT item_id, lower(text) LIKE '%car%' OR lower(text) LIKE '%vehicle%' OR lower(text) LIKE '%truck%' OR lower(text) LIKE '%van%' AS vehicle, lower(text) LIKE '%person%' OR lower(text) LIKE '%pedestrian%' OR lower(text) LIKE '%crowd%' AS pedestrian,
-  CASE WHEN lower(text) LIKE '%before%' OR lower(text) LIKE '%after%' OR lower(text) LIKE '%why%' OR lower(text) LIKE '%preceded%' THEN 'causal_investigation' WHEN lower(text) LIKE '%count%' OR lower(text) LIKE '%how many%' OR lower(text) LIKE '%footfall%' THEN 'footfall_aggregation' ELSE 'visual_semantic_search' END AS query_type FROM benchmark"""),
-    "url_redaction": ((), "SELECT page_id, regexp_replace(url, '^([a-z]+)://.*', '***') AS hidden, substr(regexp_replace(url, '[^A-Za-z0-9_-]', '_'{g}), 1, 80) AS component FROM pages"),
     "percentiles": ((), "SELECT lang, round({pct}(n_chars, 5e-1), 6) AS p50, round({pct}(n_chars, 95e-2), 6) AS p95 FROM documents GROUP BY lang"),
-    "trace_exclusive_time": (("memory_events",), "SELECT p.event_id, p.end_ms - p.start_ms - coalesce(CAST(sum(c.end_ms - c.start_ms) AS BIGINT), 0) AS exclusive_ms FROM memory_events p LEFT JOIN memory_events c ON c.event_id = p.event_id * 2 + 1 GROUP BY p.event_id, p.start_ms, p.end_ms"),
-    "diverse_track_windows": (("obs",), """
-WITH w AS (SELECT camera, track_id, CAST(floor(t / 20000e0) AS BIGINT) AS win, min(t) AS t0, max(t) AS t1, max(x) AS big, min(x) + 1e-3 AS small, count(*) AS n FROM obs GROUP BY camera, track_id, CAST(floor(t / 20000e0) AS BIGINT))
-SELECT camera, track_id, win, n FROM (SELECT *, row_number() OVER (PARTITION BY camera, track_id ORDER BY big / small DESC, win) AS rn FROM w WHERE t1 - t0 >= 0) q WHERE rn = 1"""),
 }
 
 #: What differs in the few texts that can't be the same.
