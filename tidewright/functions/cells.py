@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,16 @@ def grid(lat: Column, lng: Column) -> tuple[Column, Column]:
     return at(lng, 180.0), at(lat, 90.0)
 
 
-def cell64(lat: Column, lng: Column, resolution: int) -> Column:
-    """The 64-bit cell id; not Uber's H3, whose libraries give other ids."""
+def cell64(position: Column, resolution: int) -> Column:
+    """The 64-bit cell id of a curve position; not Uber's H3, whose libraries give other ids."""
     res = max(0, min(15, resolution))
-    h = hilbert(*grid(lat, lng))
-    part = lambda n: F.call_function("shiftright", h, F.lit(n))
+    part = lambda n: F.call_function("shiftright", position, F.lit(n))
     head = (1 << 59) | (res << 52)
     base = F.call_function("shiftleft", part(45).bitwiseAND(F.lit(0x7F)), F.lit(45))
     return base.bitwiseOR(part(15 - res).bitwiseAND(F.lit((1 << 45) - 1))).bitwiseOR(F.lit(head))
+
+
+def cells(df: DataFrame, lat: str, lng: str, resolution: int, position: str = "hilbert", into: str = "cell") -> DataFrame:
+    """df with the curve position of each place, walked once, and its cell."""
+    out = df.withColumn(position, hilbert(*grid(F.col(lat), F.col(lng))))
+    return out.withColumn(into, cell64(F.col(position), resolution))

@@ -30,13 +30,14 @@ def document_frequency(docs: DataFrame, text: str) -> DataFrame:
 
 
 def lexical(docs: DataFrame, doc_id: str, text: str, query: list[str], limit: int = 50) -> DataFrame:
-    """The best documents by the inverse document frequencies of the matched query terms; ties by id."""
-    n = max(docs.count(), 1)
+    """The best documents by the inverse document frequencies of the matched query terms; ties by id. The number of
+    documents and of those with each asked term come from one pass; they stand in the scoring expression of the second."""
     asked = expanded(query)
-    hits = docs.select(doc_id, F.explode(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, asked)))).alias("term"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most a row for each query term
-    score = F.round(F.sum(F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1) / len(asked), 6)
-    return hits.join(F.broadcast(df), "term").groupBy(doc_id).agg(score.alias("score")).orderBy(F.desc("score"), doc_id).limit(limit)
+    rows = docs.select(doc_id, F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, asked))).alias("hits"))
+    n = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("hits", t)).alias(f"n{k}") for k, t in enumerate(asked)]).first()
+    idf = F.create_map(*[x for k, t in enumerate(asked) for x in (F.lit(t), F.log(F.lit((max(n["n"], 1) + 1.0) / (n[f"n{k}"] + 1))) + 1)])
+    score = F.round(F.aggregate("hits", F.lit(0.0), lambda s, t: s + idf[t]) / len(asked), 6)
+    return rows.where(F.size("hits") > 0).select(doc_id, score.alias("score")).orderBy(F.desc("score"), doc_id).limit(min(max(limit, 1), 50))
 
 
 def fused(rankings: DataFrame, item: str, limit: int, k: int = 60) -> DataFrame:

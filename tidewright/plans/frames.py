@@ -61,8 +61,7 @@ def appearance_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hilbert_cell64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = cells.grid(F.col("lat"), F.col("lng"))
-    return view(spark, sf_dir, "trajectories").select("event_id", cells.hilbert(x, y).alias("hilbert"), cells.cell64(F.col("lat"), F.col("lng"), 12).alias("cell"))
+    return cells.cells(view(spark, sf_dir, "trajectories"), "lat", "lng", 12).select("event_id", "hilbert", "cell")
 
 
 def _first(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import control, sequences
 from ..views import view, with_views
+from . import frames
 
 _POOL = ["start", "finish", "cancel", "resume", "fail"]
 
@@ -153,12 +154,22 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_footfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import cells
 
-    rows = view(spark, sf_dir, "trajectories").withColumn("cell", cells.cell64(F.col("lat"), F.col("lng"), 3))
-    asked = rows.where("event_id = 0").select("cell")
+    rows = cells.cells(view(spark, sf_dir, "trajectories"), "lat", "lng", 3)
+    asked = rows.where("event_id < 3").select("cell").distinct()
     return rows.join(F.broadcast(asked), "cell", "left_semi").agg(F.count("*").alias("footfall"), F.countDistinct("track_id").alias("tracks"))
 
 
-QUERIES = {f.__name__: f for f in (content_fingerprints, index_job_ids, idempotent_submit, job_states, pruned_jobs, cluster_job_totals, revocation_purge, revocation_antijoin, revocation_witness, revocation_dispatch, projection_verify, projection_replay, admission_order, index_queue_order, index_job_progress, deployment_registry, storage_contracts, experiment_pairs, eval_summary, projection_payloads, box_alignment, detector_agreement, cell_footfall)}
+def grounded_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import history
+
+    events = view(spark, sf_dir, "memory_events").select("event_id", "camera", "start_ms", "end_ms")
+    observed = history.observations(view(spark, sf_dir, "obs"), events)
+    chosen = events.orderBy("start_ms", "event_id").limit(3)
+    rows = history.grounding(chosen, observed.where("class_name = 'click'"), 2_000_000_000)
+    return rows.select("event_id", "lo", "hi", F.size("boxes").alias("boxes"), F.array_join(F.transform("boxes", lambda b: b["t"].cast("string")), ",").alias("times"))
+
+
+QUERIES = {f.__name__: f for f in (content_fingerprints, index_job_ids, idempotent_submit, job_states, pruned_jobs, cluster_job_totals, revocation_purge, revocation_antijoin, revocation_witness, revocation_dispatch, projection_verify, projection_replay, admission_order, index_queue_order, index_job_progress, deployment_registry, storage_contracts, experiment_pairs, eval_summary, projection_payloads, box_alignment, detector_agreement, cell_footfall, grounded_interpretations)}
 
 _URL = "'6ba7b8119dad11d180b400c04fd430c8'"
 
@@ -169,7 +180,20 @@ def _uuid(name: str) -> str:
     return uuid5_sql(_URL, name)
 
 
+def _grounded() -> str:
+    from . import stories
+
+    return stories._history("""SELECT e.event_id, lo, hi, CAST(count(DISTINCT o.t) AS INT) AS boxes, coalesce(string_agg(DISTINCT CAST(o.t AS VARCHAR), ',' ORDER BY CAST(o.t AS VARCHAR)), '') AS times FROM (SELECT event_id, camera, greatest(start_ms - 2000, 0) AS lo, least(end_ms + 2000, greatest(start_ms - 2000, 0) + 20000) AS hi FROM memory_events ORDER BY start_ms, event_id LIMIT 3) e
+LEFT JOIN (SELECT * FROM observed WHERE class_name = 'click' AND conf IS NOT NULL) o ON o.camera = e.camera AND o.t >= lo AND o.t < hi GROUP BY e.event_id, lo, hi""")
+
+
+def _cells() -> str:
+    return frames.SQL["hilbert_cell64"].replace("CAST(12 AS BIGINT) << 52", "CAST(3 AS BIGINT) << 52").replace("((d >> 3) & 35184372088831)", "((d >> 12) & 35184372088831)")
+
+
 SQL = {
+    "grounded_interpretations": _grounded(),
+    "cell_footfall": "WITH k AS (" + _cells() + ") SELECT count(*) AS footfall, count(DISTINCT user_id) AS tracks FROM k JOIN events ON events.event_id = k.event_id WHERE cell IN (SELECT cell FROM k WHERE event_id < 3)",
     "content_fingerprints": """SELECT o_orderkey, sha256('["' || o_orderstatus || '",{"a":"' || o_orderstatus || '","z":"' || o_orderpriority || '"}]') AS profile, sha256('["' || o_orderstatus || '", ' || o_orderkey || ', ' || (o_orderkey + 5) || ', "v1"]') AS artifact,
   sha256('["' || o_orderstatus || '",{"o_custkey":' || o_custkey || ',"o_orderpriority":"' || o_orderpriority || '"}]') AS request, sha256('["' || o_orderstatus || '",{"o_custkey":' || o_custkey || '}]|p') AS profiled FROM orders""",
     "index_job_ids": f"SELECT o_custkey AS job, {_uuid('digest')} AS job_id, items FROM (SELECT o_custkey, count(*) AS items, sha256('scope' || chr(10) || 'policy' || chr(10) || 'v1' || chr(10) || string_agg(item, chr(10) ORDER BY item)) AS digest FROM (SELECT o_custkey, o_orderkey || '|' || o_orderstatus || '|1|' || o_orderkey AS item FROM orders) i GROUP BY o_custkey) q",

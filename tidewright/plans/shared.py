@@ -52,7 +52,7 @@ SELECT camera, track_id, seq AS from_seq, next_seq AS to_seq, gap_ms FROM (SELEC
     "entity_first_last": (("obs",), "SELECT camera, track_id, min(t) AS first_ms, max(t) AS last_ms, count(DISTINCT t) > 1 AS has_history FROM obs GROUP BY camera, track_id"),
     "entity_cap": (("obs",), "SELECT camera, track_id, first_ms, rn FROM (SELECT camera, track_id, first_ms, row_number() OVER (PARTITION BY camera ORDER BY first_ms, track_id) AS rn FROM (SELECT camera, track_id, min(t) AS first_ms FROM obs GROUP BY camera, track_id) a) q WHERE rn <= 12"),
     "eligibility_filter": (("memory_events",), "SELECT event_id, camera, start_ms, end_ms FROM memory_events WHERE job = 1 AND camera IN (0, 2) AND end_ms >= 500000000 AND start_ms <= 1500000000"),
-    "memory_job_totals": (("memory_events",), "SELECT job, count(DISTINCT camera) AS cameras, count(*) AS events, max(end_ms) AS duration_ms FROM memory_events GROUP BY job"),
+    "memory_job_totals": (("memory_events",), "SELECT job, count(DISTINCT camera) AS cameras, count(*) AS events, max(end_ms) AS duration_ms, CAST(sum(event_id % 500) AS BIGINT) AS frames FROM memory_events GROUP BY job"),
     "missing_graph_cameras": (("memory_events", "obs"), "SELECT count(*) AS missing FROM (SELECT DISTINCT camera FROM memory_events) m WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.camera = m.camera AND o.camera < 3)"),
     # Anomalies, gating, routing, liveness
     "anomaly_smoothing_alerts": (("obs",), """
@@ -70,8 +70,8 @@ SELECT camera, matrix, CASE WHEN cells < 256 OR coalesce(outside, 0) <= 1e-9 THE
     "contribution_epoch": ((), """
 WITH f AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 <> 0 THEN 1e0 ELSE 0e0 END AS l, least(greatest(((s_suppkey % 10) / 10e0) * 4e-1 + 35e-2 * 9e-1 + 25e-2 * 95e-2, 0), 1) AS q,
     least(greatest((((s_suppkey % 5) / 5e0) * 6e-1 + 5e-1 * 4e-1) * 2 / sqrt(1 + s_nationkey % 4), 1e-1), 2) AS h, least(greatest(1 + least((s_suppkey % 50) * 5e-2, 2), 5e-1), 5) AS d, 1 + 5e-1 * (1 - exp(-1e-2 * greatest(s_suppkey % 365, 0))) AS m FROM supplier),
-w AS (SELECT *, CASE WHEN q >= 7e-1 THEN l * q * h * d * m ELSE 0 END AS weight FROM f), t AS (SELECT sum(weight) AS total FROM w)
-SELECT node, round(weight, 6) AS weight, round(CASE WHEN l > 0 AND q >= 7e-1 AND total > 0 THEN weight / total ELSE 0 END, 9) AS share, round(CASE WHEN l > 0 AND q >= 7e-1 AND total > 0 THEN 10000 * weight / total ELSE 0 END, 6) AS payout, l > 0 AND q >= 7e-1 AS verified FROM w, t"""),
+w AS (SELECT *, CASE WHEN q >= 7e-1 THEN l * q * h * d * m ELSE 0 END AS weight FROM f), t AS (SELECT sum(weight) AS total, CAST(sum(CASE WHEN l > 0 AND q >= 7e-1 THEN 1 ELSE 0 END) AS BIGINT) AS verified_nodes, CAST(sum(CASE WHEN l > 0 AND q >= 7e-1 THEN 0 ELSE 1 END) AS BIGINT) AS disqualified_nodes FROM w)
+SELECT verified_nodes, disqualified_nodes, CASE WHEN l = 0 THEN 'disqualified_liveness' WHEN q < 7e-1 THEN 'disqualified_quality' ELSE 'verified' END AS status, node, round(weight, 6) AS weight, round(CASE WHEN l > 0 AND q >= 7e-1 AND total > 0 THEN weight / total ELSE 0 END, 9) AS share, round(CASE WHEN l > 0 AND q >= 7e-1 AND total > 0 THEN 10000 * weight / total ELSE 0 END, 6) AS payout, l > 0 AND q >= 7e-1 AS verified FROM w, t"""),
     "vector_sizing": ((), """
 SELECT bits, CAST(floor(1.1e0 * (bits / 8e0 * 384 + 8 * 16) * 100000000) AS BIGINT) AS bytes FROM (SELECT 32 AS bits UNION ALL SELECT 16 UNION ALL SELECT 8 UNION ALL SELECT 1) q"""),
     # Cluster, control, evaluation
