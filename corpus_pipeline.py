@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns each
 document's token digests.
+
+Defined results: a null or empty text is not toxic, no copy of anything, not contaminated, has no secrets and no tokens, so
+its document stays. Rows without an id stay. Of rows with one id and one text one stays; of one id with two texts, each is
+judged by itself. Other columns pass through up to the last stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; each secret becomes a mask, and n_chars follows the text."""
-    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents stay; each secret becomes a mask, and n_chars, where there is one, follows the text."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
