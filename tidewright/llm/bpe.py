@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCHES, WORDS = 100_000, 80_000
+STRETCHES, WORDS = 150_000, 80_000
 #: Texts whose ids a worker holds as Python objects at once.
 AT_ONCE = 250
 TYPE = "struct<ids: binary, text: string>"
@@ -81,6 +81,8 @@ class Bpe:
         self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.lead = tuple({x[0] for x in self.special})
+        #: Whether letters alone are one word to the split, as a few samples show.
+        self.letters = all(self.split.findall(x) == [x] for x in ("a", "zq", "strengths"))
         self.word, self.stretch = Recent(self._word, WORDS), Recent(self._stretch, STRETCHES)
 
     def merge(self, word: bytes) -> list[int]:
@@ -127,6 +129,8 @@ class Bpe:
 
     def _stretch(self, text: str) -> bytes:
         """The packed ids of a stretch without white space."""
+        if self.letters and text.isascii() and text.isalpha():
+            return self.word(text.lower())
         if self.cut is not None and any(x in text for x in self.lead):
             return b"".join([struct.pack("<I", self.special[x]) if x in self.special else self.plain(x) for x in self.cut.split(text) if x])
         return self.plain(text)
