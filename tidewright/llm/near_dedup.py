@@ -23,6 +23,7 @@ more; a class is what links connect, and its id is its smallest document id.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +127,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 _SKETCH = "struct<fp: binary, bands: array<bigint>, items: binary, counts: binary>"
 _ARROW = pa.struct([("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("items", pa.binary()), ("counts", pa.binary())])
-#: Texts whose shingles a worker holds unpacked at once.
+#: Texts whose shingles a worker unpacks before it hands their sketches on.
 AT_ONCE = 250
 
 
@@ -154,8 +155,10 @@ def _sketched(texts: pa.Array, size: int, bands: int, rows: int) -> list[dict |
 
 def _sketch_udf(size: int, bands: int, rows: int):
     @F.arrow_udf(_SKETCH)
-    def sketch(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([], _ARROW), *(pa.array(_sketched(texts[i : i + AT_ONCE], size, bands, rows), _ARROW) for i in range(0, len(texts), AT_ONCE))])
+    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for i in range(0, max(len(texts), 1), AT_ONCE):
+                yield pa.array(_sketched(texts[i : i + AT_ONCE], size, bands, rows), _ARROW)
 
     return sketch
 
