@@ -6,21 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bits of each coordinate that one step of the walk takes.
+STEP = 3
+
+
+def _steps() -> list[int]:
+    """For each state and STEP bits of x and of y: the curve's digits, times 4, plus the state after them. A state says whether
+    the coordinates are swapped (1) and inverted (2) by the quadrants so far."""
+    out = []
+    for state in range(4):
+        for x in range(1 << STEP):
+            for y in range(1 << STEP):
+                now, digits = state, 0
+                for k in range(STEP - 1, -1, -1):
+                    a, b = (x >> k) & 1, (y >> k) & 1
+                    if now & 1:
+                        a, b = b, a
+                    a, b = a ^ (now >> 1), b ^ (now >> 1)
+                    digits = digits * 4 + ((3 * a) ^ b)
+                    now ^= 0 if b else 1 + 2 * a
+                out.append(digits * 4 + now)
+    return out
+
+
 def hilbert(x: Column, y: Column, order: int = 24) -> Column:
     """The position of grid point (x, y) along the curve; both are clamped to the grid by the caller."""
-    side = (1 << order) - 1
-    state = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("d"))
+    table = F.from_json(F.lit(str(_steps())), "array<int>")
+    steps = -(-order // STEP)
+    # Leading zero bits swap the coordinates once each, so the walk starts swapped if there is an odd number of them.
+    start = F.struct(F.lit(0).cast("bigint").alias("d"), F.lit((steps * STEP - order) % 2).alias("state"))
+    bits = lambda v, k: F.call_function("shiftright", v.cast("bigint"), k).bitwiseAND(F.lit((1 << STEP) - 1)).cast("int")
 
     def step(s, k):
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-        rx = F.when(s["x"].bitwiseAND(bit) > 0, 1).otherwise(0)
-        ry = F.when(s["y"].bitwiseAND(bit) > 0, 1).otherwise(0)
-        d = s["d"] + bit * bit * (3 * rx).bitwiseXOR(ry)
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, side - s["x"]).otherwise(s["x"]), F.when(flip, side - s["y"]).otherwise(s["y"])
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.alias("d"))
-
-    return F.aggregate(F.sequence(F.lit(order - 1), F.lit(0), F.lit(-1)), state, step, lambda s: s["d"])
+        found = F.get(table, s["state"] * (1 << 2 * STEP) + bits(x, k) * (1 << STEP) + bits(y, k))
+        return F.struct((s["d"] * (1 << 2 * STEP) + F.floor(found / 4)).cast("bigint").alias("d"), (found % 4).cast("int").alias("state"))
+
+    return F.aggregate(F.sequence(F.lit((steps - 1) * STEP), F.lit(0), F.lit(-STEP)), start, step, lambda s: s["d"])
 
 
 def grid(lat: Column, lng: Column) -> tuple[Column, Column]:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import expanded, terms
+from .retrieval import expanded, matched
 
 SCALARS = ("camera", "country", "country_code", "region", "city", "manufacturer", "about", "summary", "scene_type", "conditions")
 LISTS = ("visible_objects", "visible_people", "apparent_actions", "visible_text")
@@ -53,8 +53,7 @@ def retrieved(clips: DataFrame, r: Request, clip_id: str = "event_id") -> DataFr
     pass of their own and stand in the scoring expression; nothing is shuffled but the best."""
     asked = expanded(r.query)
     own = eligible(clips, r)
-    matched = F.array_intersect(terms(document(own)), F.array(*map(F.lit, asked)))
-    rows = own.select(clip_id, "start_ms", "generated", "activity_peak", "quality", F.array_sort(matched).alias("matched"))
+    rows = own.select(clip_id, "start_ms", "generated", "activity_peak", "quality", F.array_sort(matched(document(own), asked)).alias("matched"))
     n = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("matched", t)).alias(f"n{k}") for k, t in enumerate(asked)]).first()
     idf = F.create_map(*[x for k, t in enumerate(asked) for x in (F.lit(t), F.log(F.lit((max(n["n"], 1) + 1.0) / (n[f"n{k}"] + 1))) + 1)])
     lexical = F.aggregate("matched", F.lit(0.0), lambda s, t: s + idf[t]) / max(len(asked), 1)

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, hamming, sign_bits
 
 #: The stop words and the synonym groups.
-STOP_WORDS = "a an and are at be by for from in is it of on or the this to was what when where with".split()
-SYNONYMS = ["person people pedestrian worker human", "car vehicle truck van automobile", "ship boat vessel", "outside outdoor exterior", "road street roadway", "move moving movement motion activity", "scrap scrapyard junkyard"]
+STOP_WORDS = ["a", "an", "and", "are", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "the", "this", "to", "was", "what", "when", "where", "with"]
+SYNONYMS = [
+    ["person", "people", "pedestrian", "worker", "human"],
+    ["car", "vehicle", "truck", "van", "automobile"],
+    ["ship", "boat", "vessel"],
+    ["outside", "outdoor", "exterior"],
+    ["road", "street", "roadway"],
+    ["move", "moving", "movement", "motion", "activity"],
+    ["scrap", "scrapyard", "junkyard"],
+]
 
 
 def terms(text: Column) -> Column:
@@ -21,10 +31,17 @@ def terms(text: Column) -> Column:
 def expanded(terms_: list[str]) -> list[str]:
     out = set(terms_)
     for t in terms_:
-        out |= set(next((g.split() for g in SYNONYMS if t in g.split()), ()))
+        out |= set(next((g for g in SYNONYMS if t in g), ()))
     return sorted(out)
 
 
+def matched(text: Column, asked: list[str]) -> Column:
+    """The asked terms among a text's; texts that hold none even as a part of a word aren't split."""
+    some = F.array_intersect(terms(text), F.array(*map(F.lit, asked)))
+    may = F.lower(text).rlike("|".join(re.escape(t) for t in asked)) if asked else F.lit(False)
+    return F.when(may, some).otherwise(F.array().cast("array<string>"))
+
+
 def document_frequency(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -33,7 +50,7 @@ def lexical(docs: DataFrame, doc_id: str, text: str, query: list[str], limit: in
     """The best documents by the inverse document frequencies of the matched query terms; ties by id. The number of
     documents and of those with each asked term come from one pass; they stand in the scoring expression of the second."""
     asked = expanded(query)
-    rows = docs.select(doc_id, F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, asked))).alias("hits"))
+    rows = docs.select(doc_id, matched(F.col(text), asked).alias("hits"))
     n = rows.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("hits", t)).alias(f"n{k}") for k, t in enumerate(asked)]).first()
     idf = F.create_map(*[x for k, t in enumerate(asked) for x in (F.lit(t), F.log(F.lit((max(n["n"], 1) + 1.0) / (n[f"n{k}"] + 1))) + 1)])
     score = F.round(F.aggregate("hits", F.lit(0.0), lambda s, t: s + idf[t]) / len(asked), 6)
