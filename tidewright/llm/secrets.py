@@ -12,6 +12,7 @@ judgement doesn't depend on the patterns. Rows and other columns pass through. W
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -86,7 +87,7 @@ def ratios(random: list[str], ordinary: list[str]) -> list[float]:
 
 def _pair_ratios(run: Column, weights: list[float]) -> Column:
     size = len(CHARACTERS)
-    lookup = F.array(*[F.lit(w) for w in weights]) if len(weights) < 2 else F.lit(weights)
+    lookup = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one constant, not one for each weight
     codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(CHARACTERS), c) - 1)
     return F.zip_with(F.slice(codes, 1, F.length(run) - 1), F.slice(codes, 2, F.length(run)), lambda a, b: F.get(lookup, a * size + b))
 

@@ -9,6 +9,8 @@ empty strings. Of rules of one length the first by verdict (allow before block)
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +105,7 @@ def fit(spark: SparkSession, labelled=LABELLED, buckets: int = BUCKETS, steps: i
         raise ValueError(f"at most {MOST_LABELLED} labelled URLs")
     if not labelled:
         return [0.0] * buckets, -1.0
-    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("y")) for u, y in labelled])
+    rows = F.from_json(F.lit(json.dumps([{"url": u, "y": y} for u, y in labelled])), "array<struct<url: string, y: int>>")
     urls = spark.range(1).select(F.inline(rows))
     told = urls.select(grams(host(F.col("url")), path(F.col("url")), buckets=buckets).alias("g"), "y").collect()
     y = np.array([r["y"] for r in told], float)
@@ -135,7 +137,7 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, labelled=LABELLED) -
         out = out.join(best, (F.col(f"{at}.host") == F.col(f"{at}h")) & (F.col(f"{at}.path") == F.col(f"{at}p")), "left").withColumnRenamed(f"{at}b", f"{at}best").drop(f"{at}h", f"{at}p")
     else:
         out = out.withColumn(f"{at}best", rule(F.col(f"{at}.host"), F.col(f"{at}.path"), rules) if rules else F.lit(None).cast("struct<size:int,verdict:string,rule:string>"))
-    table_ = F.lit(weights)
+    table_ = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # one constant, not one for each weight
     g = grams(F.col(f"{at}.host"), F.col(f"{at}.path"))
     z = bias + F.aggregate(g, F.lit(0.0), lambda s, k: s + F.get(table_, k)) / F.sqrt(F.greatest(F.size(g), F.lit(1)))
     out = out.withColumns({"score": 1 / (1 + F.exp(-z)), "host": F.col(f"{at}.host"), "path": F.col(f"{at}.path"), "rule": F.col(f"{at}best.rule")})
