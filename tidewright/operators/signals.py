@@ -151,6 +151,8 @@ def report(obs: DataFrame, tracks: DataFrame, events: DataFrame, notable: int =
     seen = obs.agg(F.count("*").alias("n"), (F.coalesce(F.max("t") - F.min("t"), F.lit(0)) / 1000).alias("seconds"))
     total = events.agg(F.count("*").alias("found"))
     rows = seen.join(classes, F.lit(True)).join(total, F.lit(True)).join(listed, F.lit(True))
-    text = F.format_string("Processed %d observations across %d confirmed tracks (%s) over %.1f seconds and produced %d events.", "n", "tracks", F.when(F.col("classes") == "", "no confirmed tracks").otherwise(F.col("classes")), "seconds", "found")
+    # Java's %.1f rounds the shortest decimal half up, 2.15 to 2.2; format_number rounds the double itself, to 2.1, as C does.
+    seconds = F.call_function("format_number", F.col("seconds"), F.lit("0.0"))
+    text = F.format_string("Processed %d observations across %d confirmed tracks (%s) over %s seconds and produced %d events.", "n", "tracks", F.when(F.col("classes") == "", "no confirmed tracks").otherwise(F.col("classes")), seconds, "found")
     headline = F.when(F.col("found") == 0, "No rule events observed").otherwise(F.concat(F.col("found").cast("string"), F.lit(" deterministic events observed")))
     return rows.select(headline.alias("headline"), text.alias("summary"), "ids", "observations")
