@@ -163,10 +163,10 @@ def grounded_interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import history
 
     events = view(spark, sf_dir, "memory_events").select("event_id", "camera", "start_ms", "end_ms")
-    observed = history.observations(view(spark, sf_dir, "obs"), events)
-    chosen = events.orderBy("start_ms", "event_id").limit(3)
-    rows = history.grounding(chosen, observed.where("class_name = 'click'"), 2_000_000_000)
-    return rows.select("event_id", "lo", "hi", F.size("boxes").alias("boxes"), F.array_join(F.transform("boxes", lambda b: b["t"].cast("string")), ",").alias("times"))
+    shown = history.windows(events.orderBy("start_ms", "event_id").limit(3), 2_000_000_000)
+    observed = history.observations(*history.near(view(spark, sf_dir, "obs"), events, shown))
+    rows = history.grounding(shown, observed.where("class_name = 'click'"))
+    return rows.select("event_id", "lo", "hi", F.size("boxes").alias("boxes"), F.array_join(F.array_sort(F.transform("boxes", lambda b: b["t"].cast("string"))), ",").alias("times"))
 
 
 QUERIES = {f.__name__: f for f in (content_fingerprints, index_job_ids, idempotent_submit, job_states, pruned_jobs, cluster_job_totals, revocation_purge, revocation_antijoin, revocation_witness, revocation_dispatch, projection_verify, projection_replay, admission_order, index_queue_order, index_job_progress, deployment_registry, storage_contracts, experiment_pairs, eval_summary, projection_payloads, box_alignment, detector_agreement, cell_footfall, grounded_interpretations)}
